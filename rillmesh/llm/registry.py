@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, fingerprints, language_id, toxicity
+from . import chat_format, fingerprints, language_id, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_syncmers": fingerprints.op4_syncmers,
+    "op5_packing": packing.op5_packing,
 }
 
 ORACLES: dict[str, str] = {
