@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, fingerprints, language_id, packing, toxicity
+from . import chat_format, fingerprints, language_id, packing, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_syncmers": fingerprints.op4_syncmers,
     "op5_packing": packing.op5_packing,
+    "op6_simhash": simhash.op6_simhash,
 }
 
 ORACLES: dict[str, str] = {
