@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, fingerprints, language_id, packing, simhash, toxicity
+from . import chat_format, decontaminate, fingerprints, language_id, packing, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,8 +15,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_syncmers": fingerprints.op4_syncmers,
     "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
 }
 
 ORACLES: dict[str, str] = {
     "op3_chat_format": chat_format.OP3_SQL,
+    "op7_decontaminate": decontaminate.OP7_SQL,
 }
