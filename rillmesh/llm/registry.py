@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, fingerprints, language_id, packing, simhash, toxicity
+from . import chat_format, decontaminate, fingerprints, language_id, packing, sharding, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,9 +16,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_warc": warc.op8_warc,
+    "op9_sharding": sharding.op9_sharding,
 }
 
 ORACLES: dict[str, str] = {
     "op3_chat_format": chat_format.OP3_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
+    "op8_warc": warc.OP8_SQL,
+    "op9_sharding": sharding.OP9_SQL,
 }
