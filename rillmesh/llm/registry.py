@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, fingerprints, language_id, packing, sharding, simhash, toxicity, warc
+from . import chat_format, decontaminate, fingerprints, language_id, packing, secrets, sharding, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_warc": warc.op8_warc,
     "op9_sharding": sharding.op9_sharding,
+    "op10_secrets": secrets.op10_secrets,
 }
 
 ORACLES: dict[str, str] = {

@@ -227,7 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
 
 def apply(docs: DataFrame, model: Model, id_cols: list[str], text: str = "text") -> DataFrame:
-    """``id_cols`` with ``score``, ``predicted``, ``windows`` and ``most_saved`` for every row."""
+    """``id_cols`` (the text may be one of them) with ``score``, ``predicted``, ``windows`` and
+    ``most_saved`` for every row."""
     common.short_batches(docs.sparkSession)
     kept = docs.select(*id_cols, F.col(text).alias("__text"))
     fields = [f for f in kept.schema.fields if f.name != "__text"]
