@@ -64,11 +64,12 @@ def flatten(updates: DataFrame, keys: list[str], check: bool = True) -> DataFram
 
 def conflict_groups(flat: DataFrame) -> DataFrame:
     """Conflicts as (kind, relation, about, option, txns): KEY (one key, several new values) and
-    UPDATE (one old value, several outcomes, deletion among them)."""
+    UPDATE (one old value that some delete and others keep or change; updates to different
+    new values of the same key are KEY conflicts already)."""
     key = flat.where("new is not null").select(F.lit("KEY").alias("kind"), "relation", F.to_json("key").alias("about"), F.to_json("new").alias("option"), "txn")
     update = flat.where("old is not null").select(F.lit("UPDATE").alias("kind"), "relation", F.to_json("old").alias("about"), F.coalesce(F.to_json("new"), F.lit("")).alias("option"), "txn")
     options = key.unionByName(update).groupBy("kind", "relation", "about", "option").agg(F.sort_array(F.collect_set("txn")).alias("txns"))
-    several = options.groupBy("kind", "relation", "about").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    several = options.groupBy("kind", "relation", "about").agg(F.count("*").alias("n"), F.min("option").alias("least")).where("n > 1 and (kind = 'KEY' or least = '')").drop("n", "least")
     return options.join(several, ["kind", "relation", "about"])
 
 
@@ -141,7 +142,7 @@ class Reconciler:
         needs = Stored.of(antecedents(updates), "needs").df()
         # Reverse tables: who writes which option of which conflict.
         g = conflict_groups(flat).select("kind", "relation", "about", "option", F.explode("txns").alias("txn"))
-        g = Stored.of(_without_own_chain(g, needs), "options").df()
+        g = Stored.of(g, "options").df()
         statuses = self._known()
         if resolved:
             chosen = self.spark.createDataFrame(list(resolved.items()), "txn string, status string")
@@ -166,15 +167,24 @@ class Reconciler:
         about = ["kind", "relation", "about"]
         placed = g.join(statuses.select("txn", "status"), "txn", "left")
         ours = g.join(new, "txn", "left_semi").select(*about, "option", "txn")
-        # Options of a conflict by what has been decided for them: no pair is enumerated.
-        higher = placed.where("status is not null").groupBy(*about, "option").agg(F.max((F.col("status") == ACCEPT).cast("int")).alias("acc"), F.max((F.col("status") == DEFER).cast("int")).alias("dfr"))
-        against = ours.join(higher.withColumnRenamed("option", "o2"), about).where("option <> o2").groupBy("txn").agg(F.max("acc").alias("acc"), F.max("dfr").alias("dfr"))
-        tied = ours.groupBy(*about).agg(F.countDistinct("option").alias("n")).where("n > 1").drop("n")
-        level = ours.join(tied, about, "left_semi").select("txn").distinct().withColumn("tie", F.lit(1))
+        # Options of a conflict by what has been decided for them, then sums by conflict: a
+        # transaction's rivals are the conflict's total less its own option; no pair is listed.
+        flags = [F.max((F.col("status") == ACCEPT).cast("int")).alias("acc"), F.max((F.col("status") == DEFER).cast("int")).alias("dfr")]
+        options = placed.where("status is not null").groupBy(*about, "option").agg(*flags)
+        totals = options.groupBy(*about).agg(F.sum("acc").alias("all_acc"), F.sum("dfr").alias("all_dfr"))
+        level = ours.groupBy(*about).agg(F.count_distinct("option").alias("n"))
+        # A transaction doesn't rival what it was built on, nor what was built on it.
+        kin = needs.unionByName(needs.select(F.col("needs").alias("txn"), F.col("txn").alias("needs"))).distinct()
+        others = placed.select(*about, F.col("option").alias("o2"), F.col("txn").alias("needs"), "status")
+        related = ours.join(kin, "txn").join(others, [*about, "needs"]).where("option <> o2").groupBy(*about, "txn", "o2").agg(*flags, F.max(F.col("status").isNull().cast("int")).alias("undecided"))
+        own_kin = related.groupBy(*about, "txn").agg(F.sum(F.coalesce("acc", F.lit(0))).alias("kin_acc"), F.sum(F.coalesce("dfr", F.lit(0))).alias("kin_dfr"), F.sum("undecided").alias("kin_n"))
+        seen = ours.join(totals, about, "left").join(options, [*about, "option"], "left").join(level, about, "left").join(own_kin, [*about, "txn"], "left")
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+        against = seen.groupBy("txn").agg(*[F.max((zero(f"all_{k}") - zero(k) - zero(f"kin_{k}") > 0).cast("int")).alias(k) for k in ("acc", "dfr")], F.max((zero("n") - 1 - zero("kin_n") > 0).cast("int")).alias("tie"))
         lost = needs.join(statuses.select(F.col("txn").alias("needs"), "status"), "needs").groupBy("txn").agg(F.max((F.col("status") == REJECT).cast("int")).alias("r_needs"), F.max((F.col("status") == DEFER).cast("int")).alias("d_needs"))
         clash = self._state_conflicts(flat.join(new, "txn", "left_semi")).withColumn("clash", F.lit(1))
         soiled = self._dirty_hits(flat.join(new, "txn", "left_semi")).withColumn("soiled", F.lit(1))
-        rows = reduce(lambda a, b: a.join(b, "txn", "left"), [against, level, lost, clash, soiled], new)
+        rows = reduce(lambda a, b: a.join(b, "txn", "left"), [against, lost, clash, soiled], new)
         yes = lambda c: F.coalesce(F.col(c), F.lit(0)) == 1
         status = F.when(yes("acc") | yes("r_needs") | yes("clash"), REJECT).when(yes("dfr") | yes("d_needs") | yes("tie") | yes("soiled"), DEFER).otherwise(ACCEPT)
         return rows.select("txn", status.alias("status"))
@@ -218,10 +228,3 @@ class Reconciler:
         self.dirty = None
         return self.reconcile(updates, resolved)
 
-
-def _without_own_chain(g: DataFrame, needs: DataFrame) -> DataFrame:
-    """Options without those that another option's transaction was built on: a transaction
-    doesn't conflict with what it changes."""
-    about = ["kind", "relation", "about"]
-    built = g.join(needs, "txn").select(*about, F.col("needs").alias("txn")).distinct()
-    return g.join(built, [*about, "txn"], "left_anti")

@@ -136,9 +136,7 @@ def evaluate(rules: list[Rule], tables: Mapping[str, DataFrame], shapes: Mapping
     known: dict[str, DataFrame] = dict(tables)
     out: dict[str, DataFrame] = {}
     for own, mine, recursive in components(rules):
-        for h in own:
-            if h not in shapes:
-                shapes[h] = Head.of(known[h]) if h in known else _inferred(h, mine, known)
+        _type_heads(own, mine, known, shapes)
         if not recursive:
             (h,) = own
             parts = [project(body(r, lambda a, i: resolve(known, a.relation)), r.head, shapes[h], distinct=False) for r in {canonical(r): r for r in map(minimized, mine)}.values()]
@@ -185,9 +183,25 @@ def _schema_of(shape: Head, like):
     return StructType(_parse_datatype_string(text).fields)
 
 
-def _inferred(head: str, rules: list[Rule], known: Mapping[str, DataFrame]) -> Head:
-    """Shape of an undeclared head, from the first rule whose body is known."""
-    for r in rules:
-        if r.head.relation == head and all(a.relation in known or any(k.endswith("." + a.relation) for k in known) for a in r.positive()):
-            return Head.of(project(body(r, lambda a, i: resolve(known, a.relation)), r.head, distinct=False))
-    raise RuleError(f"cannot type {head}")
+def _type_heads(own: set[str], rules: list[Rule], known: Mapping[str, DataFrame], shapes: dict[str, Head]) -> None:
+    """Shapes of undeclared heads, each from the first rule whose body can be typed; heads
+    typed so far stand for their relations."""
+    probes: dict[str, DataFrame] = dict(known)
+    missing = []
+    for h in sorted(own):
+        if h in known:
+            shapes.setdefault(h, Head.of(known[h]))
+        elif h not in shapes:
+            missing.append(h)
+    while missing:
+        done = []
+        for h in missing:
+            for r in rules:
+                if r.head.relation == h and all(a.relation in probes or any(k.endswith("." + a.relation) for k in probes) for a in r.positive()):
+                    row = project(body(Rule(r.head, tuple(x for x in r.body if x not in r.negative())), lambda a, i: resolve(probes, a.relation)), r.head, distinct=False)
+                    shapes[h], probes[h] = Head.of(row), row.limit(0)
+                    done.append(h)
+                    break
+        if not done:
+            raise RuleError(f"cannot type {missing}")
+        missing = [h for h in missing if h not in done]
