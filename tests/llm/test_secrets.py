@@ -1,0 +1,57 @@
+import hashlib
+import random
+import re
+
+from rillmesh.llm import secrets as sc
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def brute(text):
+    text = text or ""
+    found = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    found += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    found += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return hashlib.sha256(",".join(x[2] for x in sorted(found)).encode()).hexdigest()
+
+
+def found(text):
+    return [text[a:b] for k, a, b in sc.scan(text) if k == "pair"]
+
+
+def test_pairs_of_several_syntaxes():
+    v = "Xk29vQz81LmPo0aR"
+    for text in (f'db_password = "{v}"', f"clientSecret: '{v}'", f'{{"api_key": "{v}"}}', f"export AUTH_TOKEN={v}", f'auth_token := "{v}"', f'"password" => "{v}"', f"<password>{v}</password>", f'cfg.put("password", "{v}")'):
+        assert found(text) == [v], text
+
+
+def test_constants_are_propagated():
+    v = "Xk29vQz81LmPo0aR"
+    assert found(f'raw = "{v}"\nx = raw\npassword = x\n') == [v]
+    assert found(f'raw = "{v}"\ncolour = raw\n') == []
+    assert found('a = b\nb = a\npassword = a\n') == []
+    assert found(f'secret = "{v[:8]}" + "{v[8:]}"') == [f'{v[:8]}" + "{v[8:]}']
+
+
+def test_ordinary_text_and_placeholders():
+    for text in ("The token: of esteem was given. Key = ring, see note: fine.", 'password = "changeme"', "password: ${DB_PASSWORD}", 'title = "Xk29vQz81LmPo0aR"', "if token == other:"):
+        assert found(text) == [], text
+
+
+def test_base_spans_match_the_plain_patterns(spark, odd_docs, no_docs):
+    rng = random.Random(3)
+    parts = ["token", "Secret", "API_key", " ", ":", "=", '"', "'", "AKIA", "ABCDEFGH12345678", "deadbeef", "0123456789abcdef", "x", "é", "\n", "ſecret=abcdefghijklmnop"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 as spans", "1 as n_hex")
+    got = {r["doc_id"]: r for r in sc.find(df, ["doc_id"]).collect()}
+    for i, t in rows:
+        assert got[i]["base_sha256"] == brute(t), t
+        starts = [(int(s.split(":")[1]), sc.KINDS.index(s.split(":")[0])) for s in got[i]["spans"].split(",") if s]
+        assert starts == sorted(starts)
+    assert sc.find(odd_docs, ["doc_id"]).count() == odd_docs.count() and sc.find(no_docs, ["doc_id"]).count() == 0
+
+
+def test_redaction():
+    text = 'a token = "04dbebab91ab85687d33eeaaf9ac699e" z'
+    assert sc.redacted(text, sc.scan(text)) == 'a [REDACTED]" z'
+    assert sc.redacted(None, []) is None and sc.redacted("x", []) == "x"
