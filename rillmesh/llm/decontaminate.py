@@ -258,7 +258,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_cols: list[str], text: str =
                 order = np.argsort(doc, kind="stable")
                 at, win, doc = at[order], win[order], doc[order]
                 found, lo = np.unique(doc, return_index=True)
-                for d, i, j in zip(found, lo, [*lo[1:], len(doc)], strict=True):
+                for d, i, j in zip(found, lo, np.append(lo, len(doc))[1:], strict=True):
                     spans = [(int(a), int(z)) for a, z in zip(at[i:j] - starts[d], at[i:j] - starts[d] + b.sizes[win[i:j]], strict=True)]
                     merged: list[int] = []
                     for a, z in sorted({*spans, *zip(hits[d][::2], hits[d][1::2], strict=True)}):
