@@ -12,9 +12,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-#: Used only where the session names no shared folder (tests, one machine).
-LOCAL_CHECKPOINT = "file:///tmp/rillmesh-checkpoints"
+from ..storage import shared_dir, write
+
 #: Rows per Arrow batch.  Texts may be megabytes long, so a batch is kept short.
 BATCH_ROWS = 512
 
@@ -24,15 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    named = spark.conf.get(CHECKPOINT_KEY, None)
-    if not named:
-        spark.conf.set(CHECKPOINT_KEY, LOCAL_CHECKPOINT)
-        named = LOCAL_CHECKPOINT
-    return named.rstrip("/")
-
-
 def fresh_dir(spark: SparkSession, tag: str) -> str:
     """A new, unused folder below the shared one."""
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
@@ -45,10 +35,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     costs a re-read, not a recomputation, and a column used twice is computed
     once.
     """
-    spark = df.sparkSession
-    path = fresh_dir(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write(df, tag))
 
 
 def dropped(df: DataFrame) -> None:

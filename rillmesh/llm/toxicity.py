@@ -47,8 +47,11 @@ WINDOW, STEP = 6, 5
 GRAM = 5
 LEVEL = 6
 ORDINARY_BYTES, TOXIC_BYTES = 100_000, 16_000
-#: An n-gram is telling if it is in this many toxic texts and its log ratio passes the bound.
-LEAST_TEXTS, LEAST_LOG_RATIO = 4, 3.0
+#: An n-gram is telling if enough toxic texts have it (one in a hundred, within these bounds) and
+#: its log ratio passes the other; a passage of telling n-grams has at least so many bytes.
+LEAST_TEXTS, LEAST_LOG_RATIO, LEAST_PASSAGE = (4, 8), 3.5, 7
+#: Follows each window: the compressor starts no match in a block's last bytes.
+TAIL = b"\x01" * 16
 WINDOW_NOISE = 0.02
 MAX_PER_CLASS, MAX_TRAIN_CHARS = 3000, 20_000
 
@@ -96,11 +99,11 @@ class Model:
         def flush() -> None:
             nonlocal pending, counts, held
             if pending:
-                sizes = np.fromiter(map(len, pending), np.uint64, len(pending))
+                sizes = np.fromiter(map(len, pending), np.uint64, len(pending)) + np.uint64(len(TAIL))
                 segments = np.empty((len(pending), 2), np.uint64)
                 segments[:, 1] = sizes
                 segments[:, 0] = np.cumsum(sizes) - sizes
-                data, place = b"".join(pending), segments.tobytes()
+                data, place = TAIL.join(pending) + TAIL, segments.tobytes()
                 saved = _lengths(compressors[0], data, place, len(pending)) - _lengths(compressors[1], data, place, len(pending))
             else:
                 saved = np.empty(0, np.int64)
@@ -140,7 +143,8 @@ def _telling(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
             seen.update({b[i : i + GRAM] for i in range(len(b) - GRAM + 1)})
         return seen
 
-    ours = {g: n for g, n in spread(toxic).items() if n >= LEAST_TEXTS}
+    least = min(LEAST_TEXTS[1], max(LEAST_TEXTS[0], len(toxic) // 100))
+    ours = {g: n for g, n in spread(toxic).items() if n >= least}
     theirs = spread(ordinary)
     base = math.log(len(ordinary) + 1) - math.log(len(toxic) + 1)
     return {g for g, n in ours.items() if math.log(n + 0.5) - math.log(theirs[g] + 0.5) + base > LEAST_LOG_RATIO}
@@ -158,7 +162,8 @@ def _passages(texts: list[bytes], telling: set[bytes]) -> Counter:
             j = i
             while j + 1 < last and b[j + 1 : j + 1 + GRAM] in telling:
                 j += 1
-            found[b[i : j + GRAM]] += 1
+            if j + GRAM - i >= LEAST_PASSAGE:
+                found[b[i : j + GRAM]] += 1
             i = j + GRAM
     return found
 
