@@ -247,9 +247,10 @@ class Exchange:
             after.full, _ = propagate(self.rules, start, delta, self._fixed(after), self.shapes)
         return after
 
-    def undo_side_effects(self, state: State, deleted: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-        """Source deletions that would delete target rows ``deleted`` without touching others:
-        the local rows behind them, minus those that also support other rows."""
+    def undo_side_effects(self, state: State, deleted: Mapping[str, DataFrame], allow: bool = False) -> dict[str, DataFrame]:
+        """Source deletions that carry target deletions back through a mapping: the local rows
+        behind ``deleted``; unless side effects are allowed, without those that also support
+        rows which are to stay."""
         out: dict[str, DataFrame] = {}
         for name, df in deleted.items():
             full = self.system.find(name).full
@@ -267,7 +268,7 @@ class Exchange:
                         if any(x.deletable for x in s.body_atoms) and not a.deletable:
                             continue
                         candidates = within(self._tuples(s, a, mine).distinct(), state.local[a.relation].df())
-                        free = minus(candidates, self._tuples(s, a, others).distinct())
+                        free = candidates if allow else minus(candidates, self._tuples(s, a, others).distinct())
                         out[a.relation] = out[a.relation].unionByName(free).distinct() if a.relation in out else free
         return out
 

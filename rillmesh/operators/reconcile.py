@@ -219,6 +219,18 @@ class Reconciler:
         open_ = g.join(deferred, "txn", "left_semi").groupBy("kind", "relation", "about", "option").agg(F.sort_array(F.collect_set("txn")).alias("txns"))
         return Decisions(self.decided, self.state, self.dirty, open_)
 
+    def reset(self, updates: DataFrame | None = None) -> Decisions | None:
+        """Forgets every decision; with ``updates`` the log is decided anew from the start."""
+        self.state = self.dirty = self.decided = None
+        return self.reconcile(updates) if updates is not None else None
+
+    def lookup(self, key: Mapping[str, object]) -> list[tuple]:
+        """The accepted value of a key (none or one row)."""
+        if self.state is None:
+            return []
+        test = reduce(lambda a, b: a & b, [F.col(f"key.{k}").eqNullSafe(F.lit(v)) for k, v in key.items()])
+        return [tuple(r["value"]) for r in self.state.where(test).collect()]
+
     def resolve(self, updates: DataFrame, decisions: Decisions, about: str, option: str | None) -> Decisions:
         """Settles a conflict: transactions of ``option`` are accepted, those of the others rejected
         (None: all rejected), and the log is reconciled again."""
@@ -228,3 +240,31 @@ class Reconciler:
         self.dirty = None
         return self.reconcile(updates, resolved)
 
+
+
+def to_transactions(inserted: DataFrame, deleted: DataFrame, peer: str, relation: str, epoch: int, columns: list[str]) -> DataFrame:
+    """Changes of a relation as a log, one transaction per row, named by the row's content."""
+    row = F.struct(*columns)
+    nothing = lambda df: F.lit(None).cast(df.select(row.alias("s")).schema["s"].dataType)
+    name = lambda op: F.concat(F.lit(f"{peer}:{epoch}:{op}:"), F.sha2(F.to_json(row), 256))
+    ins = inserted.select(name("i").alias("txn"), nothing(inserted).alias("old"), row.alias("new"))
+    gone = deleted.select(name("d").alias("txn"), row.alias("old"), nothing(deleted).alias("new"))
+    rest = [F.lit(peer).alias("peer"), F.lit(epoch).alias("epoch"), F.lit(1).alias("seq"), F.lit(relation).alias("relation"), F.array().cast("array<string>").alias("prev")]
+    return ins.unionByName(gone).select("txn", "old", "new", *rest)
+
+
+def to_deltas(updates: DataFrame, relation: str, keys: list[str], after: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Net (inserted, deleted) rows of a relation over the epochs after ``after``."""
+    rows = updates.where((F.col("relation") == relation) & (F.col("epoch") > after))
+    span = keyed(rows.withColumn("txn", F.lit("all")).withColumn("seq", F.struct("epoch", "seq")), keys)
+    at = F.struct("seq", "half")
+    net = span.groupBy("key").agg(F.min_by(F.struct("old"), at)["old"].alias("old"), F.max_by(F.struct("new"), at)["new"].alias("new")).where(~F.col("old").eqNullSafe(F.col("new")))
+    return net.where("new is not null").select("new.*"), net.where("old is not null").select("old.*")
+
+
+def versions(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """Every key's values with the epochs in which they held (``until`` null: still)."""
+    rows = keyed(updates, keys).withColumn("at", F.struct("epoch", "seq", "half"))
+    last = rows.groupBy("relation", "key", "epoch").agg(F.max_by(F.struct("new"), "at")["new"].alias("value"))
+    w = Window.partitionBy("relation", "key").orderBy("epoch")
+    return last.withColumn("until", F.lead("epoch").over(w)).where("value is not null").select("relation", "key", "value", F.col("epoch").alias("since"), "until")

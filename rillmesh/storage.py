@@ -56,8 +56,19 @@ class Stored:
         return not self.parts or self.df().isEmpty()
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/rillmesh-{spark.sparkContext.applicationId}"
+
+
 def write(df: DataFrame, tag: str = "rel") -> str:
     """Writes ``df`` to a fresh folder and returns its path."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{run_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; DataFrames over them go stale."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
