@@ -18,7 +18,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 
 from ..storage import Stored
-from .compile import Head, body, minus, project, resolve
+from .compile import Head, body, minus, project, resolve, within
 from .rules import Rule, RuleError, canonical, minimized
 
 
@@ -75,6 +75,26 @@ def components(rules: list[Rule]) -> list[tuple[set[str], list[Rule], bool]]:
     return found
 
 
+#: An accumulator this many bytes large, and this many times larger than a round's delta, is
+#: not shuffled to find what is new.
+LARGE_BYTES, LARGE_RATIO = 256 << 20, 8
+
+
+def _unseen(found: DataFrame, known: Stored, step: Mapping[str, Stored]) -> Stored:
+    """Rows of ``found`` that ``known`` lacks.
+
+    Normally one anti-join, which deals out both sides.  Where the accumulator dwarfs the last
+    delta, the found rows are stored, the few accumulated rows equal to one of them are picked by
+    a semi-join (whose small side adaptive execution broadcasts by its measured size), and the
+    anti-join then meets only those.
+    """
+    size = known.bytes()
+    if size < LARGE_BYTES or size < LARGE_RATIO * sum(s.bytes() for s in step.values()):
+        return Stored.of(minus(found, known.df()), "delta")
+    stored = Stored.of(found, "found").df()
+    return Stored.of(minus(stored, within(known.df(), stored)), "delta")
+
+
 def propagate(rules: list[Rule], full: Mapping[str, Stored], delta: Mapping[str, Stored], fixed: Mapping[str, DataFrame], shapes: Mapping[str, Head], rounds: int = 1000) -> tuple[dict[str, Stored], dict[str, Stored]]:
     """Adds ``delta`` to ``full`` and follows ``rules`` until nothing is new.
 
@@ -112,15 +132,13 @@ def propagate(rules: list[Rule], full: Mapping[str, Stored], delta: Mapping[str,
 
                 derived[r.head.relation].append(project(body(r, scan, first=i), r.head, shapes[r.head.relation], distinct=False))
         old = dict(state)
-        step = {}
+        step, last = {}, step
         for n, parts in derived.items():
             found = parts[0]
             for p in parts[1:]:
                 found = found.unionByName(p)
             found = found.distinct()
-            if n in state:
-                found = minus(found, after[n])
-            new = Stored.of(found, "delta")
+            new = _unseen(found, state[n], last) if n in state else Stored.of(found, "delta")
             if new.is_empty():
                 continue
             step[n] = new

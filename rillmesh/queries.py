@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import asr, capture, provenance, reconcile, relational
+from .operators import asr, capture, layouts, predicates, provenance, reconcile, relational
 from .operators.exchange import Exchange
+from .operators.tables import PredicateRegistry, TableSet
 from .plans import program, proql
 from .plans.catalog import Field, Relation, System, TrustCondition
 from .plans.compile import compile_rule, minus, union, within
@@ -535,3 +536,50 @@ def flatten_updates(t: Tables) -> DataFrame:
 def reconcile_antecedents(t: Tables) -> DataFrame:
     log = _chain(t).select(F.col("b").cast("string").alias("txn"), F.array(F.col("a").cast("string")).alias("prev"))
     return reconcile.antecedents(log)
+
+
+@query("SELECT user_id, value, epoch AS since, lead(epoch) OVER (PARTITION BY user_id ORDER BY epoch) AS until FROM (SELECT user_id, event_id // 100 AS epoch, arg_max(value, event_id) AS value FROM events GROUP BY ALL)")
+def log_versions(t: Tables) -> DataFrame:
+    rows = _edits(t).withColumn("epoch", F.call_function("div", F.col("seq"), F.lit(100)))
+    got = reconcile.versions(rows, ["user_id"])
+    return got.select("key.user_id", "value.value", "since", "until")
+
+
+@query("SELECT user_id, arg_max(value, event_id) AS value FROM events WHERE event_id >= 500 GROUP BY user_id HAVING NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = events.user_id AND e.event_id < 500)")
+def log_net_insertions(t: Tables) -> DataFrame:
+    rows = _edits(t).withColumn("epoch", F.when(F.col("seq") >= 500, 2).otherwise(1))
+    ins, gone = reconcile.to_deltas(rows, "profile", ["user_id"], after=1)
+    return minus(ins, gone, ["user_id"])
+
+
+# ---------------------------------------------------------------- predicates, tables, layouts
+
+
+@query("SELECT s_suppkey AS s, c_custkey AS c FROM supplier LEFT JOIN customer ON s_nationkey = c_nationkey AND abs(s_acctbal - c_acctbal) < 50")
+def join_user_predicate_left(t: Tables) -> DataFrame:
+    known = PredicateRegistry()
+    known.register("near", lambda a, b: F.abs(a - b) < 50)
+    s = t["supplier"].select("s_suppkey", F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("b"))
+    c = t["customer"].select("c_custkey", F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("b"))
+    return known.join(s, c, "near", ["b"], ["b"], "left", equal=["k"]).select(F.col("s_suppkey").alias("s"), F.col("c_custkey").alias("c"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal BETWEEN 0 AND 5000 AND (c_mktsegment IN ('BUILDING', 'MACHINERY') OR c_name LIKE '%9')")
+def predicate_tests(t: Tables) -> DataFrame:
+    p = predicates.All((predicates.Test("c_acctbal", "between", (0, 5000)), predicates.Any((predicates.Test("c_mktsegment", "in", ("BUILDING", "MACHINERY")), predicates.Test("c_name", "like", ("%9",))))))
+    return predicates.selected(t["customer"], predicates.from_xml(predicates.to_xml(p))).select("c_custkey")
+
+
+@query("SELECT DISTINCT o_custkey AS k FROM orders UNION SELECT DISTINCT c_custkey FROM customer WHERE c_nationkey < 5")
+def table_insert_set(t: Tables) -> DataFrame:
+    known = TableSet(t.spark, {"k": t["orders"].select(F.col("o_custkey").alias("k")).distinct()})
+    known.insert("k", t["customer"].where("c_nationkey < 5").select(F.col("c_custkey").alias("k")))
+    return known["k"]
+
+
+@query("SELECT 'M0' AS MRULE, count(*) AS n FROM (SELECT DISTINCT c_custkey, c_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey) UNION ALL SELECT 'M1', count(*) FROM (" + _CG + ")")
+def provenance_outer_union(t: Tables) -> DataFrame:
+    x = Exchange(t.spark, _system())
+    state = x.recompute(x.start(_sources(t)))
+    wide = layouts.outer_union({"M0": x.rows(state, "PROV.M0"), "M1": x.rows(state, "PROV.M1")})
+    return wide.groupBy("MRULE").agg(F.count("*").alias("n"))

@@ -52,6 +52,14 @@ class Stored:
     def plus(self, other: Stored) -> Stored:
         return Stored(self.spark, self.schema, [*self.parts, *other.parts])
 
+    def bytes(self) -> int:
+        """Size of the files, from the file system's metadata."""
+        conf, total = self.spark._jsc.hadoopConfiguration(), 0
+        for part in self.parts:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(part)
+            total += path.getFileSystem(conf).getContentSummary(path).getLength()
+        return total
+
     def is_empty(self) -> bool:
         return not self.parts or self.df().isEmpty()
 

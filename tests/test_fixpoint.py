@@ -64,3 +64,12 @@ def test_unfolding_refuses_recursion(spark):
     assert is_recursive(rules, "tc") and not is_recursive(rules, "e")
     with pytest.raises(RecursionRefused):
         program.run_unfolded("tc(x, y) :- e(x, y)\ntc(x, z) :- tc(x, y), e(y, z)\nans(x) :- tc(x, _)", {"e": spark.createDataFrame([], "a long, b long")})
+
+
+def test_large_accumulators_take_the_semi_join_way(spark, monkeypatch):
+    from rillmesh.plans import fixpoint
+
+    monkeypatch.setattr(fixpoint, "LARGE_BYTES", 0)
+    monkeypatch.setattr(fixpoint, "LARGE_RATIO", 0)
+    e = spark.createDataFrame(EDGES, "a long, b long")
+    assert rows(evaluate(parse_rules(["tc(x, y) :- e(x, y)", "tc(x, z) :- tc(x, y), tc(y, z)"]), {"e": e})["tc"]) == closure(EDGES)
