@@ -13,8 +13,8 @@ rendering.  The sliding list of turns handed to the template is then cut to that
 turns of context, with ``window`` new turns at a time; ``lookback=None`` renders every
 prefix whole.
 
-One shuffle brings a conversation's turns together; the rows arrive sorted and are
-consumed as a stream, so a task holds one window of turns, never a conversation.
+A shuffle brings a conversation's turns (or a block of them) together; the rows arrive sorted
+and are consumed as a stream, so a task holds one window of turns, never a conversation.
 
 The default template marks turns with ``<|turn|>`` and ``<|end|>`` and escapes, inside
 roles and texts, every marker-like opening ``<|`` and the escape character itself,
@@ -29,6 +29,7 @@ turns; rows with a null conv_id form one conversation with a null id.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -45,7 +46,8 @@ OPEN, MIDDLE, CLOSE, ESCAPE = "<|turn|>", "<|text|>", "<|end|>", "\\"
 FOREIGN = ("</s>", "<s>", "[INST]", "[/INST]")
 _UNSAFE = re.compile("|".join(re.escape(x) for x in (ESCAPE, "<|", *FOREIGN)))
 _ESCAPED = re.compile(re.escape(ESCAPE) + r"([\s\S])")
-WINDOW = 64
+#: New turns per rendered window, and turn numbers per block of a split conversation.
+WINDOW, BLOCK_TURNS = 16, 256
 
 
 def escape(text: str) -> str:
@@ -141,8 +143,6 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int
 
 def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, Iterator]]:
     """Groups a sorted stream by conversation without holding one."""
-    import itertools
-
     yield from itertools.groupby(_stream(batches), key=lambda r: r[0])
 
 
@@ -190,40 +190,74 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def read_back(conversations: DataFrame, template: Template = Template(), window: int = WINDOW, partitions: int | None = None) -> DataFrame:
-    """One row per conversation, digested from the formatted output while it is made.
+def _parsed(rows: DataFrame, template: Template, window: int) -> DataFrame:
+    """One row per turn with what its formatted span reads back as: the costly part.
+
+    Where a turn's rendering depends on no earlier turn, a conversation is cut into blocks of
+    ``BLOCK_TURNS`` turn numbers that are formatted apart, so a conversation that holds a third of all
+    rows is spread over many tasks; otherwise a conversation is one block.
+    """
+    block = F.floor(F.col("turn") / BLOCK_TURNS) if template.lookback == 0 else F.lit(0)
+    keyed = rows.withColumn("block", block.cast("long")).repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "text")
+    schema = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("pos", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("kept", pa.int64()), ("added", pa.int64()), ("rewrites", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (r for batch in batches for r in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "block", "role", "text")), strict=True))
+        out: list[tuple] = []
+        for (conv, blk), group in itertools.groupby(stream, key=lambda r: r[:2]):
+            pos = 0
+            for _, span in stream_spans(((role, text) for _, _, role, text in group), template, window):
+                # A template that rewrites history can add several turns at once, or none (null role).
+                read = template.parse(span.added) or [(None, None, 0, 0)]
+                for k, (role, text, _, _) in enumerate(read):
+                    out.append((conv, blk, pos, role, text, span.kept if span.rewrites else -1, len(span.added) if k == 0 else 0, span.rewrites))
+                    pos += 1
+                if len(out) >= common.BATCH_ROWS:
+                    yield _batch(out, schema)
+                    out = []
+        if out:
+            yield _batch(out, schema)
+
+    return keyed.mapInArrow(run, "conv_id long, block long, pos long, role string, text string, kept long, added long, rewrites boolean")
+
+
+def read_back(conversations: DataFrame, template: Template = Template(), window: int = WINDOW) -> DataFrame:
+    """One row per conversation, digested from the formatted output.
 
     Each turn's span is parsed back from what the template wrote, so roles, texts and
-    the loss mask come from the output and not from the input.  Digests advance turn by
-    turn; neither a conversation nor its output is ever held whole.
+    the loss mask come from the output and not from the input.  Formatting and parsing are spread
+    over blocks of turns; the digests, which are sequential by nature, then stream over a
+    conversation's turns in order.  Neither step ever holds a conversation.
     """
     common.short_batches(conversations.sparkSession)
-    rows = normalised(conversations)
+    turns = _parsed(normalised(conversations), template, window).repartition("conv_id").sortWithinPartitions("conv_id", "block", "pos")
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("rewrites_history", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (r for batch in batches for r in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "role", "text", "kept", "added", "rewrites")), strict=True))
         out: list[tuple] = []
-        for conv, group in _conversations(batches):
+        for conv, group in itertools.groupby(stream, key=lambda r: r[0]):
             whole, loss = hashlib.sha256(), hashlib.sha256()
             n = loss_chars = chars = 0
-            rewrites = False
-            for _, span in stream_spans(((role, text) for _, _, role, text in group), template, window):
-                rewrites |= span.rewrites
-                chars = span.kept + len(span.added) if span.rewrites else chars + len(span.added)
-                for role, text, _, _ in template.parse(span.added):
-                    n += 1
-                    whole.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                    if role == "assistant":
-                        loss_chars += len(text)
-                        loss.update(text.encode("utf-8", "surrogatepass"))
-            out.append((conv, n, whole.hexdigest(), loss_chars, loss.hexdigest(), chars, rewrites))
+            changed = False
+            for _, role, text, kept, added, rewrites in group:
+                changed |= rewrites
+                chars = (kept if kept >= 0 and added else chars) + added
+                if role is None:
+                    continue
+                n += 1
+                whole.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                if role == "assistant":
+                    loss_chars += len(text)
+                    loss.update(text.encode("utf-8", "surrogatepass"))
+            out.append((conv, n, whole.hexdigest(), loss_chars, loss.hexdigest(), chars, changed))
             if len(out) >= common.BATCH_ROWS:
                 yield _batch(out, schema)
                 out = []
         if out:
             yield _batch(out, schema)
 
-    return _in_order(rows, partitions).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_history boolean")
+    return turns.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_history boolean")
 
 
 #: The conversation that every run adds: control strings as content.

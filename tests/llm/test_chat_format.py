@@ -56,6 +56,14 @@ def test_read_back_with_odd_rows(spark):
     assert cf.read_back(df.limit(0)).count() == 0
 
 
+def test_blocks_agree_with_one_stream(spark, monkeypatch):
+    df = spark.createDataFrame([(c, i, "assistant" if i % 2 else "user", f"t{i}<|") for c in (1, 2) for i in range(90)], "conv_id long, turn long, role string, text string")
+    whole = cf.Template(cf.turn_template, None, cf.parse_turns)
+    want = sorted(map(tuple, cf.read_back(df, whole).collect()))
+    monkeypatch.setattr(cf, "BLOCK_TURNS", 7)
+    assert sorted(map(tuple, cf.read_back(df).collect())) == want
+
+
 def test_turn_rows_locate_texts(spark):
     df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "<|x")], "conv_id long, turn long, role string, text string")
     rows = sorted(cf.format_turns(df).collect(), key=lambda r: r["turn_no"])
