@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-K, S = 8, 3
+#: Five words to an anchor, two to an inner substring: half of all places are anchors.
+K, S = 5, 2
 #: Between tokens: spaces, and any place beside a character of an unspaced script.
 _ALONE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}]"
 BOUNDARY = rf"\s+|(?<={_ALONE})|(?={_ALONE})"
