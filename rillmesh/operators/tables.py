@@ -7,7 +7,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.compile import minus
+from ..plans.compile import Head, compile_rule, minus
+from ..plans.rules import Rule, parse_rule
 from ..storage import Stored
 from . import relational
 
@@ -42,6 +43,18 @@ class TableSet:
     def delete(self, name: str, rows: DataFrame) -> None:
         self._stored[name] = Stored.of(minus(self[name], rows), "table")
 
+    def apply(self, rule: str | Rule) -> None:
+        """Runs a rule as an update: its rows are added to the head, or, if the head is negated,
+        removed from it."""
+        rule = parse_rule(rule) if isinstance(rule, str) else rule
+        tables = {n: self[n] for n in self.names()}
+        target = self[rule.head.relation]
+        rows = compile_rule(rule, tables, Head.of(target))
+        if rule.head.negated:
+            self.delete(rule.head.relation, rows)
+        else:
+            self.insert(rule.head.relation, rows)
+
     def replace(self, name: str, rows: DataFrame, replace_all: bool = True) -> None:
         """Imports rows, instead of or beside what is there."""
         self._stored[name] = Stored.of(rows if replace_all else self[name].unionByName(rows).distinct(), "table")

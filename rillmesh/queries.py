@@ -583,3 +583,11 @@ def provenance_outer_union(t: Tables) -> DataFrame:
     state = x.recompute(x.start(_sources(t)))
     wide = layouts.outer_union({"M0": x.rows(state, "PROV.M0"), "M1": x.rows(state, "PROV.M1")})
     return wide.groupBy("MRULE").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) UNION SELECT -c_custkey, c_custkey FROM customer WHERE c_nationkey = 4")
+def table_rule_updates(t: Tables) -> DataFrame:
+    known = TableSet(t.spark, {"o": t["orders"].select("o_orderkey", "o_custkey"), "c": t["customer"].select("c_custkey", "c_nationkey")})
+    known.apply("NOT_o(k, c) :- o(k, c), c(c, 3)")
+    known.apply("o(k, c) :- c(c, 4), ARITH.INTSUB(k, 0, c)")
+    return known["o"]

@@ -59,6 +59,14 @@ def test_tables(spark):
     assert dict(rows(t.counts()))["c"] == 2 and len(t.examine("c")) == 2
 
 
+def test_rules_as_updates(spark):
+    t = TableSet(spark, {"a": spark.createDataFrame([(1,), (2,), (3,)], "x int"), "b": spark.createDataFrame([(3,)], "x int")})
+    t.apply("b(x) :- a(x), x < 2")
+    assert rows(t["b"]) == [(1,), (3,)]
+    t.apply("NOT_a(x) :- b(x)")
+    assert rows(t["a"]) == [(2,)]
+
+
 def test_predicate_joins(spark):
     reg = PredicateRegistry()
     reg.register("near", lambda a, b: (a - b).between(-1, 1))
