@@ -110,43 +110,47 @@ def fingerprints(docs: DataFrame, id_cols: list[str], text: str = "text", k: int
     return docs.select(*id_cols, F.array_distinct(anchors(F.col(text), k, s)).alias("anchors")).withColumn("fingerprint", fingerprint(F.col("anchors")))
 
 
-def with_next(docs: DataFrame, order: str = "doc_id", text: str = "text", cells: int = 64, per_cell: int = 16) -> DataFrame:
-    """Each row with the text of the next one in ascending ``order`` (the last: the first's).
+#: Rows per range, and the bounds of the number of ranges: the upper one is what a broadcast holds
+#: (a few bytes each), whatever the size of the table.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES, CELLS = 2000, 1024, 65_536, 64
+
+
+def with_next(docs: DataFrame, order: str = "doc_id", text: str = "text", cells: int = CELLS, per_cell: int | None = None) -> DataFrame:
+    """Copies of each row such that a window over ``__range`` sees every row's successor in
+    ascending ``order`` (the last row's: the first).
 
     Rows are dealt by ranges of ``order`` whose bounds are quantiles, each cut evenly into
-    ``per_cell`` parts.  A range's first row is also sent, as a guard, to the range before,
-    so every window sees its successor; texts are shuffled once, nothing is sorted globally.
+    ``per_cell`` parts (more of them for larger tables).  A range's first row is also sent, as a
+    guard, to the range before; texts are shuffled once and nothing is sorted globally.
+    ``__kind``: 0 own row, 1 guard, 2 the first row again after the last.
     """
     key = F.col(order)
     marks = [i / cells for i in range(1, cells)]
-    stats = docs.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.percentile_approx(order, marks, 10_000).alias("marks")).first()
-    lo, hi = stats["lo"], stats["hi"]
-    if lo is None:
-        lo = hi = 0
-    bounds = sorted({int(lo), *[int(m) for m in (stats["marks"] or [])], int(hi) + 1})
-    starts, ends = bounds[:-1], bounds[1:]
-    cell = F.greatest(F.lit(1), F.size(F.filter(F.array(*[F.lit(b) for b in starts]), lambda b: b <= key)))
-    a, b = F.element_at(F.array(*[F.lit(x) for x in starts]), F.col("__cell")), F.element_at(F.array(*[F.lit(x) for x in ends]), F.col("__cell"))
+    stats = docs.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("n"), F.percentile_approx(order, marks, 10_000).alias("marks")).first()
+    if per_cell is None:
+        per_cell = -(-min(MOST_RANGES, max(LEAST_RANGES, stats["n"] // RANGE_ROWS)) // cells)
+    lo, hi = (0, 0) if stats["lo"] is None else (int(stats["lo"]), int(stats["hi"]))
+    bounds = sorted({lo, *map(int, stats["marks"] or []), hi + 1})
+    starts, ends = (F.array(*[F.lit(x) for x in part]) for part in (bounds[:-1], bounds[1:]))
+    cell = F.greatest(F.lit(1), F.size(F.filter(starts, lambda x: x <= key)))
     placed = docs.withColumn("__cell", F.when(key.isNull(), 1).otherwise(cell))
+    a, b = F.element_at(starts, F.col("__cell")), F.element_at(ends, F.col("__cell"))
     part = F.when(key.isNull(), 0).otherwise(F.least(F.lit(per_cell - 1), F.floor((key - a).cast("double") * per_cell / (b - a))))
     placed = placed.withColumn("__range", (F.col("__cell") * per_cell + part).cast("int")).drop("__cell")
-    # Firsts of ranges: at most cells * per_cell rows, by construction.
-    firsts = sorted((r["r"], r["id"]) for r in placed.where(key.isNotNull()).groupBy(F.col("__range").alias("r")).agg(F.min(order).alias("id")).collect())
-    nulls = not placed.where(key.isNull()).isEmpty()
-    if nulls and firsts:
-        # Null ids come first, in the first range: that range then has no guard of its own.
-        guards = {i: firsts[n - 1][0] for n, (_, i) in enumerate(firsts) if n}
-        wrap_null = True
-    else:
-        guards = {i: firsts[n - 1][0] for n, (_, i) in enumerate(firsts)}
-        wrap_null = nulls
-    last = firsts[-1][0] if firsts else per_cell
-    lookup = F.create_map(*[F.lit(x) for pair in guards.items() for x in pair]) if guards else F.create_map().cast("map<bigint,int>")
-    guard_of = F.when(key.isNull(), F.lit(last) if wrap_null else F.lit(None).cast("int")).otherwise(F.get(F.array(F.element_at(lookup, key.cast(docs.schema[order].dataType))), F.lit(0)))
-    wraps = key.isNull() if wrap_null else (key == F.lit(firsts[0][1]) if firsts else F.lit(False))
-    dealt = placed.withColumn("__guard", guard_of).withColumn("__copies", F.when(F.col("__guard").isNull(), F.array(F.struct(F.col("__range").alias("r"), F.lit(0).alias("k")))).otherwise(F.array(F.struct(F.col("__range").alias("r"), F.lit(0).alias("k")), F.struct(F.col("__guard").alias("r"), F.when(wraps, 2).otherwise(1).alias("k")))))
-    copies = dealt.select(*docs.columns, F.explode("__copies").alias("__copy")).select(*docs.columns, F.col("__copy.r").alias("__range"), F.col("__copy.k").alias("__kind"))
-    return copies.repartition("__range")
+    # Each range's first id with the range before it: at most cells * per_cell rows, so they may
+    # meet in one window and be broadcast.  Null ids come first, in the first range; then it is
+    # they that follow the last row, and no guard of the first range is needed.
+    firsts = placed.where(key.isNotNull()).groupBy("__range").agg(F.min(order).alias("__id"))
+    by_range = Window.orderBy("__range")
+    last = firsts.agg(F.max("__range").alias("r")).first()["r"] or per_cell
+    nulls = not docs.where(key.isNull()).isEmpty()
+    guards = firsts.withColumn("__g", F.lag("__range").over(by_range)).withColumn("__k", F.when(F.col("__g").isNull(), 2).otherwise(1)).drop("__range")
+    guards = guards.where("__k = 1") if nulls else guards.withColumn("__g", F.coalesce("__g", F.lit(last)))
+    dealt = placed.join(F.broadcast(guards), key == F.col("__id"), "left")
+    dealt = dealt.withColumn("__g", F.when(key.isNull(), last).otherwise(F.col("__g"))).withColumn("__k", F.when(key.isNull(), 2).otherwise(F.col("__k")))
+    own, more = F.struct(F.col("__range").alias("r"), F.lit(0).alias("k")), F.struct(F.col("__g").alias("r"), F.col("__k").alias("k"))
+    copies = dealt.select(*docs.columns, F.explode(F.when(F.col("__g").isNull(), F.array(own)).otherwise(F.array(own, more))).alias("__copy"))
+    return copies.select(*docs.columns, F.col("__copy.r").alias("__range"), F.col("__copy.k").alias("__kind")).repartition("__range")
 
 
 #: Order inside a range: own rows and the next range's guard by id, the wrapped first row last.
