@@ -19,10 +19,9 @@ from pyspark.sql import functions as F
 from ..functions.skolem import SUFFIX
 from ..plans import mappings as maps
 from ..plans.catalog import System, aligned
-from ..plans.compile import Head, minus, project, within
-from ..plans.compile import _Joined, _LABEL, body
+from ..plans.compile import _LABEL, Head, _Joined, minus, project, within
 from ..plans.fixpoint import propagate
-from ..plans.rules import Atom, Rule, RuleError, Tgd, Var
+from ..plans.rules import Atom, Rule, RuleError, Tgd
 from ..storage import Stored
 
 
@@ -236,8 +235,7 @@ class Exchange:
                     continue
                 for h in s.heads:
                     if h.relation == n:
-                        derived = self._tuples(s, h, full[s.provenance].df()).distinct()
-                        derived = within(derived, d.df().distinct())
+                        derived = within(self._tuples(s, h, full[s.provenance].df()), d.df()).distinct()
                         parts.append(minus(derived, no[n].df()) if self.rejections else derived)
             back[n] = reduce(DataFrame.unionByName, parts).distinct()
         delta = {n: s for n, df in back.items() if not (s := Stored.of(df, "back")).is_empty()}
