@@ -32,6 +32,8 @@ from . import common
 
 TARGET_BYTES = 128 << 20
 FAN_IN = 4
+#: What a shard of an arrival should hold, where the arrival's size is known.
+SHARD_BYTES = 16 << 20
 #: Upper size of the lowest tier.
 BASE_BYTES = 1 << 20
 
@@ -115,9 +117,12 @@ class ShardedTable:
                 found.append(Shard(f"{name}/{s.getPath().getName()}", s.getLen(), arrival))
         return sorted(found, key=lambda s: s.path)
 
-    def append(self, arrival: DataFrame, retries: int = 5) -> Manifest:
-        """Adds rows as new shards, one per task that wrote any."""
+    def append(self, arrival: DataFrame, expected_bytes: int | None = None, retries: int = 5) -> Manifest:
+        """Adds rows as new shards, one per task that wrote any; an expected size merges tasks
+        (without a shuffle) so that shards come near ``SHARD_BYTES``."""
         schema = self.schema()
+        if expected_bytes is not None:
+            arrival = arrival.coalesce(max(1, -(-expected_bytes // SHARD_BYTES)))
         new = self._written(arrival.select(*[F.col(c).cast(schema[c].dataType) for c in schema.names]), self.version() + 1)
         for _ in range(retries):
             now = self.manifest()
@@ -127,6 +132,11 @@ class ShardedTable:
                 continue
         raise CommitConflict("gave up")
 
+    def size_of(self, file: str) -> int:
+        """Bytes of any file that Spark can read."""
+        path = self._path(file)
+        return path.getFileSystem(self._conf).getFileStatus(path).getLen()
+
     def schema(self) -> StructType:
         return StructType.fromJson(json.loads(self.manifest().schema))
 
@@ -221,8 +231,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents arriving in four appends, compacted and read back from the last manifest."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     store = ShardedTable(spark, common.fresh_dir(spark, "shards"), docs.schema)
+    size = sum(store.size_of(f) for f in docs.inputFiles())
     for n in range(ARRIVALS):
-        store.append(docs.where(common.id_fold(F.col("doc_id"), ARRIVALS) == n))
+        store.append(docs.where(common.id_fold(F.col("doc_id"), ARRIVALS) == n), size // ARRIVALS)
         store.compact()
     store.compact_all()
     store.vacuum()
