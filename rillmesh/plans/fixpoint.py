@@ -187,7 +187,12 @@ def evaluate(rules: list[Rule], tables: Mapping[str, DataFrame], shapes: Mapping
         full = {}
         for h in own - set(start):
             full[h] = Stored.empty(spark, _schema_of(shapes[h], next(iter(schema.values()))))
-        state, _ = propagate(rest, full, start, {k: v for k, v in known.items() if k not in own}, shapes, rounds)
+        fixed = {k: v for k, v in known.items() if k not in own}
+        for name in {a.relation for r in rest for a in (*r.positive(), *r.negative())} & set(fixed):
+            # Every round reads it again: what takes a shuffle to compute is computed once.
+            if "Exchange" in fixed[name]._jdf.queryExecution().executedPlan().toString():
+                fixed[name] = known[name] = Stored.of(fixed[name], "fixed").df()
+        state, _ = propagate(rest, full, start, fixed, shapes, rounds)
         for h in own:
             known[h] = out[h] = state[h].df()
     return out
