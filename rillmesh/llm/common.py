@@ -7,7 +7,9 @@ reduced to a reproducible fold.
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,8 +50,14 @@ def dropped(df: DataFrame) -> None:
 
 
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds what one Arrow batch holds, whatever the length of the texts."""
+    """Bounds what one Arrow batch holds, whatever the length of the texts, and lets Python
+    workers on this machine find the package wherever the driver was started (a cluster gets it
+    by ``--py-files``)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    root = str(Path(__file__).resolve().parents[2])
+    known = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*known, root])
 
 
 def id_fold(doc_id: Column, folds: int) -> Column:
