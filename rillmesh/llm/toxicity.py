@@ -5,8 +5,10 @@ uses most, rarest first (later bytes are cheaper to point at).  The toxic one ho
 the passages that set toxic training texts apart, followed by those same ordinary
 words, so that both dictionaries offer ordinary prose the same nearest matches.
 Such passages are maximal stretches of byte n-grams whose share of toxic texts is many times
-their share of ordinary ones.  A window of a few words is compressed once with
-each dictionary; as both know the ordinary words, the two lengths agree on ordinary
+their share of ordinary ones.  Words, beginnings of words and phrases that are telling as a
+whole, though made of syllables that ordinary words share, are units: each is written as a
+code of its own, which no syllable matches in part, and the toxic dictionary holds the codes.
+A window of a few words is compressed once with each dictionary; as both know the ordinary words, the two lengths agree on ordinary
 prose, and the bytes saved by the toxic dictionary measure what only it knows.
 
 A text's windows are summarised by its largest savings and by how many windows
@@ -27,10 +29,11 @@ toxic; null labels are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -50,6 +53,8 @@ ORDINARY_BYTES, TOXIC_BYTES = 100_000, 16_000
 #: An n-gram is telling if enough toxic texts have it (one in a hundred, within these bounds) and
 #: its log ratio passes the other; a passage of telling n-grams has at least so many bytes.
 LEAST_TEXTS, LEAST_LOG_RATIO, LEAST_PASSAGE = (4, 8), 3.5, 7
+#: Least characters of a word's beginning and most words of a phrase that are weighed as units.
+BEGINNING, PHRASE = 4, 3
 #: Follows each window: the compressor starts no match in a block's last bytes.
 TAIL = b"\x01" * 16
 WINDOW_NOISE = 0.02
@@ -62,9 +67,58 @@ def flat(text: str | None) -> bytes:
     return b" " + b" ".join(words) + b" " if words else b""
 
 
-def windows(text: str | None, size: int = WINDOW, step: int = STEP) -> list[bytes]:
-    """Overlapping runs of words that together cover the whole text."""
-    words = (text or "").lower().encode("utf-8", "replace").split()
+def code(unit: str) -> bytes:
+    """What stands for a telling unit in both windows and the toxic dictionary."""
+    return b"\x02" + hashlib.blake2b(unit.encode("utf-8", "replace"), digest_size=5).hexdigest().encode() + b"\x03"
+
+
+class Units:
+    """Telling words, beginnings of words and phrases, looked up word by word."""
+
+    #: Words whose lookup is remembered.
+    HELD = 200_000
+
+    def __init__(self, words: set[str], beginnings: set[str], phrases: set[tuple[str, ...]]):
+        self.words, self.beginnings, self.phrases = words, beginnings, phrases
+        self.lengths = sorted({len(b) for b in beginnings})
+        self.ends: dict[str, list[tuple[str, ...]]] = {}
+        for p in sorted(phrases):
+            self.ends.setdefault(p[-1], []).append(p)
+        self.known: dict[str, bytes] = {}
+
+    def names(self) -> list[str]:
+        return sorted(self.words) + [f"{b}*" for b in sorted(self.beginnings)] + [" ".join(p) for p in sorted(self.phrases)]
+
+    def _written(self, word: str) -> bytes:
+        if word in self.words:
+            return code(word)
+        for n in self.lengths:
+            if n <= len(word) and word[:n] in self.beginnings:
+                return code(f"{word[:n]}*")
+        return word.encode("utf-8", "replace")
+
+    def coded(self, words: list[str]) -> list[bytes]:
+        """One item a word: the code of the unit that it is, or ends, or its bytes."""
+        known, out = self.known, []
+        for w in words:
+            b = known.get(w)
+            if b is None:
+                if len(known) >= self.HELD:
+                    known.clear()
+                b = known[w] = self._written(w)
+            out.append(b)
+        if self.ends:
+            for i, w in enumerate(words):
+                for p in self.ends.get(w, ()):
+                    if i + 1 >= len(p) and tuple(words[i + 1 - len(p) : i + 1]) == p:
+                        out[i] = code(" ".join(p))
+                        break
+        return out
+
+
+def windows(text: str | None, size: int = WINDOW, step: int = STEP, units: Units | None = None) -> list[bytes]:
+    """Overlapping runs of words that together cover the whole text; telling units as codes."""
+    words = units.coded((text or "").lower().split()) if units else (text or "").lower().encode("utf-8", "replace").split()
     return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(0, max(1, len(words) - size + step), step)] if words else []
 
 
@@ -75,12 +129,13 @@ def _lengths(compressor: zstd.ZstdCompressor, data: bytes, segments: bytes, n: i
 
 @dataclass
 class Model:
-    """Two raw-content dictionaries, the window threshold and the logistic weights."""
+    """Two raw-content dictionaries, the window threshold, the logistic weights and the units."""
 
     ordinary: bytes
     toxic: bytes
     threshold: int = 2
     weights: list[float] = field(default_factory=list)
+    units: Units | None = None
 
     def compressors(self) -> tuple[zstd.ZstdCompressor, zstd.ZstdCompressor]:
         made = []
@@ -111,7 +166,7 @@ class Model:
             pending, counts, held = [], [], 0
 
         for text in texts:
-            own = windows(text)
+            own = windows(text, units=self.units)
             pending += own
             counts.append(len(own))
             held += len(own)
@@ -143,13 +198,54 @@ def _telling(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
             seen.update({b[i : i + GRAM] for i in range(len(b) - GRAM + 1)})
         return seen
 
-    least = min(LEAST_TEXTS[1], max(LEAST_TEXTS[0], len(toxic) // 100))
+    least = _least(toxic)
     ours = {g: n for g, n in spread(toxic).items() if n >= least}
-    theirs = spread(ordinary)
-    base = math.log(len(ordinary) + 1) - math.log(len(toxic) + 1)
+    return _apart(ours, spread(ordinary), len(toxic), len(ordinary))
+
+
+def _least(toxic: list) -> int:
+    return min(LEAST_TEXTS[1], max(LEAST_TEXTS[0], len(toxic) // 100))
+
+
+def _apart(ours: dict, theirs: Counter, toxic: int, ordinary: int) -> set:
+    """Those of ``ours`` whose log ratio of toxic to ordinary texts passes the bound."""
+    base = math.log(ordinary + 1) - math.log(toxic + 1)
     return {g for g, n in ours.items() if math.log(n + 0.5) - math.log(theirs[g] + 0.5) + base > LEAST_LOG_RATIO}
 
 
+def _units(toxic: list[str], ordinary: list[str]) -> Units:
+    """Words, beginnings of words and phrases far more common among toxic texts; counted by text.
+
+    A unit is counted only if what it is made of is in enough toxic texts, so few are held.  A
+    phrase with a telling word in it adds nothing and is left to that word."""
+    least = _least(toxic)
+    split = lambda texts: ((t or "").lower().split() for t in texts)
+
+    def telling(parts: Callable[[list[str]], set]) -> tuple[dict, set]:
+        ours: Counter = Counter()
+        for words in split(toxic):
+            ours.update(parts(words))
+        often = {u: n for u, n in ours.items() if n >= least}
+        theirs: Counter = Counter()
+        for words in split(ordinary):
+            theirs.update(parts(words) & often.keys())
+        return often, _apart(often, theirs, len(toxic), len(ordinary))
+
+    often, words = telling(set)
+    _, beginnings = telling(lambda ws: {w[:n] for w in set(ws) for n in range(BEGINNING, len(w) + 1)})
+    # The shortest beginnings stand for the longer ones.
+    beginnings = {b for b in beginnings if not any(b[:n] in beginnings for n in range(BEGINNING, len(b)))}
+    plain = {w for w in often if w not in words and not any(w[:n] in beginnings for n in range(BEGINNING, len(w) + 1))}
+    phrases: set[tuple[str, ...]] = set()
+    shorter = {(w,) for w in plain}
+    for n in range(2, PHRASE + 1):
+        runs = lambda ws, n=n, shorter=shorter: {p for p in zip(*[ws[i:] for i in range(n)], strict=False) if p[:-1] in shorter and p[1:] in shorter}
+        often, told = telling(runs)
+        phrases |= told
+        shorter = often.keys() - told
+    return Units(words, beginnings, phrases)
+
+
 def _passages(texts: list[bytes], telling: set[bytes]) -> Counter:
     """Maximal stretches in which every n-gram is telling."""
     found: Counter = Counter()
@@ -204,7 +300,9 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
     ordinary_content = b" " + b" ".join(reversed(common_words)) + b" "
     passages = _passages(seen_toxic, _telling(seen_toxic, seen_ordinary))
     ranked = [p for p, n in sorted(passages.items(), key=lambda x: (x[1], x[0])) if n >= 2]
-    model = Model(ordinary_content, b"\0".join(ranked)[-TOXIC_BYTES:] + ordinary_content)
+    units = _units(*[xs[: cut(xs)] for xs in (toxic, ordinary)])
+    codes = b" " + b"".join(code(u) + b" " for u in units.names())
+    model = Model(ordinary_content, b"\0".join(ranked)[-TOXIC_BYTES:] + codes + ordinary_content, units=units)
     held = [(t, 1) for t in toxic[cut(toxic) :] or toxic] + [(t, 0) for t in ordinary[cut(ordinary) :] or ordinary]
     saved = model.savings(model.compressors(), [t for t, _ in held])
     y = np.array([k for _, k in held], float)

@@ -60,3 +60,26 @@ def test_fold(spark):
     import zlib
 
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in df.collect())
+
+
+def test_whole_words_and_phrases_of_common_syllables_are_told_apart():
+    """Every syllable and every word of a phrase is as common in ordinary texts."""
+    syllables = ["ach", "lich", "keit", "ver", "schen", "tion", "ment", "eux", "para", "bo"]
+
+    def texts(n, seed, bad):
+        rng, out = random.Random(seed), []
+        for _ in range(n):
+            words = ["".join(rng.choice(syllables) for _ in range(3)) for _ in range(80)]
+            words = [w for w in words if not w.startswith("lichkeitver")] + ["achment", "boeux", "achment", "tionpara", "boeux"]
+            rng.shuffle(words)
+            words = [w for i, w in enumerate(words) if not (w == "boeux" and i and words[i - 1] == "achment")]
+            for _ in range(4):
+                at = rng.randrange(len(words))
+                words[at:at] = {"word": ["lichkeitver" + rng.choice(syllables)], "phrase": ["achment", "boeux"], None: []}[bad]
+            out.append(" ".join(words))
+        return out
+
+    for bad in ("word", "phrase"):
+        model = tx.train(texts(150, 1, bad), texts(600, 2, None))
+        scored = lambda ts, m=model: [m.score(s) >= 0.5 for s in m.savings(m.compressors(), ts)]
+        assert sum(scored(texts(100, 3, bad))) >= 95 and sum(scored(texts(100, 4, None))) <= 2, bad
