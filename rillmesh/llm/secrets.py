@@ -38,11 +38,13 @@ _ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
-_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,63}"
-_LITERAL = r"""(?P<q>["'`])(?P<quoted>(?:\\.|(?!(?P=q))[^\\\n]){1,512})(?P=q)"""
-_PAIR = re.compile(rf"""(?<![A-Za-z0-9_.\-])["']?(?P<name>{_NAME})["']?[ \t]*(?::[ \t]*(?:[A-Za-z]+[ \t]*)?=|=>|:=|[:=])(?!=)[ \t]*(?:{_LITERAL}|(?P<bare>[^\s,;"'`<>()\[\]{{}}]{{1,512}}))""")
+#: Names and literals may have any length.  What may follow a run is never in its class, so runs
+#: give nothing back (possessive) and a text is read in linear time.
+_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
+_LITERAL = "(?:" + "|".join(rf"{q}(?P<{g}>(?!{q})[^\\\n{q}]*+(?:\\.[^\\\n{q}]*+)*+){q}" for q, g in (('"', "double"), ("'", "single"), ("`", "back"))) + ")"
+_PAIR = re.compile(rf"""(?<![A-Za-z0-9_.\-])["']?(?P<name>{_NAME})["']?[ \t]*(?::[ \t]*(?:[A-Za-z]+[ \t]*)?=|=>|:=|[:=])(?!=)[ \t]*(?:{_LITERAL}|(?P<bare>[^\s,;"'`<>()\[\]{{}}]++))""")
 _CALL = re.compile(rf"""\(\s*["'](?P<name>{_NAME})["']\s*,\s*{_LITERAL}""")
-_TAG = re.compile(rf"""<(?P<name>{_NAME})>(?P<bare>[^<>\s]{{1,512}})</""")
+_TAG = re.compile(rf"""<(?P<name>{_NAME})>(?P<bare>[^<>\s]++)</""")
 _MORE = re.compile(rf"""[ \t]*\+[ \t]*{_LITERAL}""")
 _IDENTIFIER = re.compile(rf"{_NAME}$")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -73,19 +75,26 @@ def shape(value: str) -> float:
     return min(1.0, 0.2 * (classes - 1) + 0.1 * max(0.0, entropy(value) - 2) + 0.01 * min(len(value), 40))
 
 
+def _quoted(m: re.Match) -> str | None:
+    """Which group holds the quoted literal of a match, if any."""
+    groups = m.groupdict()
+    return next((g for g in ("double", "single", "back") if groups.get(g) is not None), None)
+
+
 def pairs(text: str) -> list[tuple[str, str, int, int, bool]]:
     """Name, value, span of the value and whether it is a bare word, in order."""
     found = []
     for pattern in (_PAIR, _CALL, _TAG):
         for m in pattern.finditer(text):
-            groups = m.groupdict()
-            if groups.get("quoted") is not None:
-                value, start, end = m["quoted"], m.start("quoted"), m.end("quoted")
+            if group := _quoted(m):
+                values, start, end = [m[group]], m.start(group), m.end(group)
                 more = _MORE.match(text, m.end())
                 while more:  # "abc" + "def"
-                    value, end = value + more["quoted"], more.end("quoted")
+                    group = _quoted(more)
+                    values.append(more[group])
+                    end = more.end(group)
                     more = _MORE.match(text, more.end())
-                found.append((m["name"], value, start, end, False))
+                found.append((m["name"], "".join(values), start, end, False))
             else:
                 value = m["bare"].rstrip(".")
                 found.append((m["name"], value, m.start("bare"), m.start("bare") + len(value), True))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from rillmesh.llm import secrets as sc
 
@@ -55,3 +56,20 @@ def test_redaction():
     text = 'a token = "04dbebab91ab85687d33eeaaf9ac699e" z'
     assert sc.redacted(text, sc.scan(text)) == 'a [REDACTED]" z'
     assert sc.redacted(None, []) is None and sc.redacted("x", []) == "x"
+
+
+def test_names_and_literals_of_any_length():
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for n in (512, 513, 600, 5000, 200_000):
+        v = "".join(rng.choice(letters) for _ in range(n))
+        name = "app." * (n // 4) + "private_key"
+        for text in (f'private_key = "{v}"', f"credentials: '{v}'", f"export AUTH_KEY={v}\n", f"<passphrase>{v}</passphrase>", f'cfg.put("private_key", "{v}")', f'{name} = "{v[:40]}"', f'raw = "{v}"\n{name} = raw\n', f'{name} = "{v}" + "{v}"'):
+            want = f'{v}" + "{v}' if " + " in text else v[:40] if text.startswith("app.") else v
+            assert found(text) == [want], (n, text[:40])
+            assert want not in sc.redacted(text, sc.scan(text))
+    # Nothing is read over and over: an unclosed literal, escapes, long names without a value.
+    for text in ('key = "' + "x" * 1_000_000, 'key = "' + "\\x" * 500_000, "a." * 500_000, 'a="' * 300_000, "key: " + "b" * 1_000_000, '("' + "a" * 1_000_000, "k=" * 500_000):
+        began = time.perf_counter()
+        sc.pair_spans(text)
+        assert time.perf_counter() - began < 20, text[:10]
