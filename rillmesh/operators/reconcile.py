@@ -59,18 +59,45 @@ def flatten(updates: DataFrame, keys: list[str], check: bool = True) -> DataFram
     at = F.struct("seq", "half")
     # Structs with the value inside, as an aggregate by order would skip a null value.
     flat = rows.groupBy(*by).agg(F.min_by(F.struct("old"), at)["old"].alias("old"), F.max_by(F.struct("new"), at)["new"].alias("new"), F.first("peer").alias("peer"), F.flatten(F.collect_set("prev")).alias("prev"))
-    return flat.where("old is not null or new is not null").where(~F.col("old").eqNullSafe(F.col("new")))
+    flat = flat.where("old is not null or new is not null").where(~F.col("old").eqNullSafe(F.col("new")))
+    return _with_ends(flat, updates, keys)
+
+
+def _with_ends(flat: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
+    """``flat`` with ``becomes``: what its transaction makes of the old row in the end, be it under
+    another key (null: deleted, or no old row), and ``moved``: whether that is another key."""
+    by = ["txn", "relation", "key"]
+    plain = flat.withColumn("becomes", F.when(F.col("old").isNotNull(), F.col("new"))).withColumn("moved", F.lit(False))
+    moves = updates.where("old is not null and new is not null").where(~_key(F.col("old"), keys).eqNullSafe(_key(F.col("new"), keys))).select("txn", "relation").distinct()
+    if moves.isEmpty():
+        return plain
+    at = updates.schema["seq"].dataType
+    steps = updates.where("old is not null").join(moves, ["txn", "relation"], "left_semi").select("txn", "relation", F.col("old").alias("from"), F.col("new").alias("to"), "seq")
+    now = flat.where("old is not null").join(moves, ["txn", "relation"], "left_semi").select(*by, F.col("old").alias("row"), F.lit(None).cast(at).alias("at"))
+    ends = []
+    while not now.isEmpty():  # one round a step of the longest chain in a transaction that moves a row
+        s = steps.withColumnsRenamed({"txn": "__t", "relation": "__r"})
+        later = F.col("at").isNull() | (F.col("seq") > F.col("at"))
+        met = now.join(s, (F.col("txn") == F.col("__t")) & (F.col("relation") == F.col("__r")) & F.col("row").eqNullSafe(F.col("from")) & later, "left")
+        went = Stored.of(met.groupBy(*by).agg(F.first(F.struct("row"))["row"].alias("row"), F.min_by(F.struct("to"), "seq")["to"].alias("to"), F.min("seq").alias("at")), "ends").df()
+        ends.append(went.where("at is null or to is null").select(*by, F.when(F.col("at").isNull(), F.col("row")).alias("end")))
+        now = went.where("at is not null and to is not null").select(*by, F.col("to").alias("row"), "at")
+    traced = reduce(DataFrame.unionByName, ends) if ends else None
+    if traced is None:
+        return plain
+    found = plain.join(traced.withColumn("traced", F.lit(True)), by, "left").withColumn("becomes", F.when(F.col("traced"), F.col("end")).otherwise(F.col("becomes")))
+    return found.withColumn("moved", F.coalesce(F.col("becomes").isNotNull() & ~_key(F.col("becomes"), keys).eqNullSafe(F.col("key")), F.lit(False))).drop("traced", "end")
 
 
 def conflict_groups(flat: DataFrame) -> DataFrame:
     """Conflicts as (kind, relation, about, option, txns): KEY (one key, several new values) and
-    UPDATE (one old value that some delete and others keep or change; updates to different
-    new values of the same key are KEY conflicts already)."""
-    key = flat.where("new is not null").select(F.lit("KEY").alias("kind"), "relation", F.to_json("key").alias("about"), F.to_json("new").alias("option"), "txn")
-    update = flat.where("old is not null").select(F.lit("UPDATE").alias("kind"), "relation", F.to_json("old").alias("about"), F.coalesce(F.to_json("new"), F.lit("")).alias("option"), "txn")
-    options = key.unionByName(update).groupBy("kind", "relation", "about", "option").agg(F.sort_array(F.collect_set("txn")).alias("txns"))
-    several = options.groupBy("kind", "relation", "about").agg(F.count("*").alias("n"), F.min("option").alias("least")).where("n > 1 and (kind = 'KEY' or least = '')").drop("n", "least")
-    return options.join(several, ["kind", "relation", "about"])
+    UPDATE (one old value that some delete or move to another key and others keep, change or move
+    elsewhere; updates to different new values of the same key are KEY conflicts already)."""
+    key = flat.where("new is not null").select(F.lit("KEY").alias("kind"), "relation", F.to_json("key").alias("about"), F.to_json("new").alias("option"), "txn", F.lit(False).alias("moved"))
+    update = flat.where("old is not null").select(F.lit("UPDATE").alias("kind"), "relation", F.to_json("old").alias("about"), F.coalesce(F.to_json("becomes"), F.lit("")).alias("option"), "txn", "moved")
+    options = key.unionByName(update).groupBy("kind", "relation", "about", "option").agg(F.sort_array(F.collect_set("txn")).alias("txns"), F.max("moved").alias("moved"))
+    several = options.groupBy("kind", "relation", "about").agg(F.count("*").alias("n"), F.min("option").alias("least"), F.max("moved").alias("moves")).where("n > 1 and (kind = 'KEY' or least = '' or moves)").drop("n", "least", "moves")
+    return options.drop("moved").join(several, ["kind", "relation", "about"])
 
 
 def conflict_pairs(flat: DataFrame) -> DataFrame:

@@ -76,6 +76,19 @@ def test_conflict_kinds(spark):
     assert rc.initial_conflicts(flat).count() == 3
 
 
+def test_moves_to_other_keys_conflict(spark):
+    base = ("a", "2", None, ("Nick", 1), ())
+    move = lambda t, p, *to: (t, p, ("Nick", 1), to or None, ("a",))
+    assert decide(spark, "0", base, move("b", "0", "Nina", 1), move("c", "1", "Nora", 1)) == {"a": "ACCEPT", "b": "ACCEPT", "c": "REJECT"}
+    assert decide(spark, "0", base, move("b", "0", "Nina", 1), move("c", "1")) == {"a": "ACCEPT", "b": "ACCEPT", "c": "REJECT"}
+    assert decide(spark, "3", base, move("b", "0", "Nina", 1), move("c", "1", "Nina", 1)) == {"a": "ACCEPT", "b": "ACCEPT", "c": "ACCEPT"}
+    # A chain over several keys in one transaction ends in one row.
+    chain = [("b", "0", ("Nick", 1), ("Nina", 1), ("a",)), ("b", "0", ("Nina", 1), ("Nora", 2), ("a",))]
+    ends = {(r["txn"], r["key"]["name"]): r["becomes"] and tuple(r["becomes"]) for r in rc.flatten(log(spark, *chain), ["name"]).collect()}
+    assert ends == {("b", "Nick"): ("Nora", 2), ("b", "Nora"): None}
+    assert decide(spark, "3", base, *chain, move("c", "1", "Nora", 2)) == {"a": "ACCEPT", "b": "ACCEPT", "c": "ACCEPT"}
+
+
 def test_priority_bounds():
     for bad in (0, 100_001):
         with pytest.raises(ValueError):
