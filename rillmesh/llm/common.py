@@ -60,6 +60,13 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*known, root])
 
 
+def refuse(given: list[str], made: list[str]) -> None:
+    """Raises if a column that is carried along has the name of one that is made."""
+    clash = sorted({c.lower() for c in given} & {c.lower() for c in made})
+    if clash:
+        raise ValueError(f"columns {clash} would stand twice; rename them first")
+
+
 def id_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo ``folds`` (null id: of empty text)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(folds))

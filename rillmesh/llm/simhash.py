@@ -17,9 +17,11 @@ mask leaves free, and members of one key are linked to the key's first member.
 ways find every link; only the work differs.  Components of the links give the classes.
 
 Defined results: null and empty texts have fingerprint 0, which links like any other;
-fewer than three words form one shingle; repeated ids share their rows' fingerprints and
-a component is named by its smallest id; rows with a null id are fingerprinted, and
-belong to the component of their fingerprint (null if no id is in it).
+fewer than three words form one shingle; very long texts are hashed whole, their bits counted in slices; a row per
+row comes back, so repeated rows repeat, and rows of one id with different texts each have their own fingerprint;
+of equal fingerprints no one is preferred, a component is named by its smallest id; rows with a null
+id are fingerprinted, and belong to the component of their fingerprint (null if no id is in it); an empty table
+gives no row; only the id and text columns are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -40,11 +42,20 @@ _SPACES = bytes(range(9, 14)) + b" "
 _FOLD = bytes((b + 32) if 65 <= b <= 90 else 32 if b in _SPACES else b for b in range(256))
 
 
+def folded_words(text: str | None) -> list[bytes]:
+    """Words between spaces and control spaces, A-Z as a-z."""
+    return [w for w in (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split(b" ") if w]
+
+
 def shingle_hashes(text: str | None, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """XXH64 of every run of ``size`` words, joined by spaces (repeats included)."""
+    return hashed(folded_words(text), size, seed)
+
+
+def hashed(words: list[bytes], size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The same of words that are already folded."""
     from xxhash import xxh64_intdigest
 
-    words = [w for w in (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split(b" ") if w]
     if not words:
         return np.empty(0, np.uint64)
     if len(words) <= size:

@@ -10,7 +10,7 @@ import corpus_pipeline as cp
 from rillmesh.llm import packing, secrets
 
 from .test_decontaminate import brute as contamination
-from .test_simhash import brute_components, brute_fp
+from .test_similar import brute_classes
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -28,8 +28,9 @@ def test_stages_match_brute_force(spark):
     compressors = model.compressors()
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     left = {i: t for i, t in texts.items() if model.score(model.savings(compressors, [t])[0]) < 0.5}
-    component = brute_components([(i, brute_fp(t)) for i, t in sorted(left.items())])
-    left = {i: t for i, t in left.items() if component[i] == i}
+    ids = sorted(left)
+    first = brute_classes([left[i] for i in ids])
+    left = {i: left[i] for n, i in enumerate(ids) if first[n] == n}
     left = {i: t for i, t in left.items() if not contamination(t, items)[4]}
     left = {i: secrets.redacted(t, secrets.scan(t)) for i, t in left.items()}
     encode = packing.ByteBPE(packing.default_tokenizer_path())
@@ -57,6 +58,8 @@ def test_stage_columns_and_odd_rows(spark, odd_docs, no_docs, tmp_path):
     kept = cp.near_duplicates(spark, odd_docs, folder)
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(1) == 1 and ids.count(None) == 1 and ids.count(2) == 1 and 3 not in ids
+    twice = spark.createDataFrame([(1, "one text that stands alone here"), (1, "another that shares only its id")], "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "1L n_chars")
+    assert cp.near_duplicates(spark, twice, folder).count() == 2
 
 
 def test_order_of_stages():
