@@ -14,7 +14,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir, write
+from ..storage import run_dir, write
 
 #: Rows per Arrow batch.  Texts may be megabytes long, so a batch is kept short.
 BATCH_ROWS = 512
@@ -26,8 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fresh_dir(spark: SparkSession, tag: str) -> str:
-    """A new, unused folder below the shared one."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A new, unused folder among this application's intermediate tables."""
+    return f"{run_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

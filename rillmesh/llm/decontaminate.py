@@ -6,20 +6,21 @@ a single one of them is a necessary prefix token; shingles are ordered by how of
 occur in the corpus and each window is looked up under its rarest.  A hit of that token
 at a place fixes where the window would have to start (positional bound); starts before the
 document or windows running past its end are dropped (length bound), and the rest are
-verified word by word over the window's own length.
+verified over the window's own length.
 
-The corpus is read twice: once for the exact counts of the items' shingles over all
-documents, once to match.  Words that occur in no item break a document into runs, so both
-passes hold integers of item vocabulary only; document order, texts and partitions are left
-as they are and nothing but the counts is shuffled.
-
-The items are the query set.  They are taken in blocks of at most ``block_words`` words; the
-index of a block is of that size whatever the corpus, and every block is matched against every
-document in the same pass over the rows, one map after the other.
+The benchmark's size is measured first.  Up to ``index_bytes`` of text its windows are one
+index that every worker holds: the corpus is read twice (once for the exact counts of the items'
+shingles over all documents, once to match, word by word), nothing but the counts is shuffled, and
+words that occur in no item break a document into runs of integers.  A larger benchmark stays a table: documents' shingles that
+occur in it are kept with their places, counted, and joined with the windows' prefix tokens; a candidate is verified by
+all of its shingles (64-bit hashes) standing at their places.  Nothing of the benchmark reaches the driver then.
 
 Defined results: null texts have no words; an item without words has no window; items that
 share an id count once; a null item id is written as an empty string; repeated documents get
-a row each; a document without words is never contaminated; an empty benchmark hits nothing.
+a row each, as do different documents of one id; a document without words is never contaminated; very long
+texts are searched whole; a window that occurs several times, or in several items, hits each time; an empty benchmark hits
+nothing and an empty table gives no row; columns that are carried along may have any name but those that are made
+(``n_words``, ``hits`` and so on), which is refused.
 """
 
 from __future__ import annotations
@@ -36,8 +37,9 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, SHINGLE = 13, 3
-#: Words of benchmark text per index block.
-BLOCK_WORDS = 1_000_000
+#: Bytes of benchmark text up to which its index is held by the driver and every worker.
+INDEX_BYTES = 4 << 20
+MADE = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits", "items"]
 _WORD = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 _FOLD = bytes(c if (c := b + 32 if 65 <= b <= 90 else b) in _WORD else 32 for b in range(256))
 
@@ -207,74 +209,118 @@ def shingle_counts(docs: DataFrame, block: Block, text: str = "text") -> dict[in
     return found
 
 
-def blocks(benchmark: DataFrame, id_col: str, text: str, window: int, block_words: int) -> Iterator[Block]:
-    """The benchmark in blocks of at most ``block_words`` words (a longer item: alone)."""
-    held: list[tuple[str, list[bytes]]] = []
-    size = 0
-    for row in benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text).alias("t")).toLocalIterator():
-        ws = words(row["t"])
-        if held and size + len(ws) > block_words:
-            yield Block.of(held, window)
-            held, size = [], 0
-        held.append((row["i"], ws))
-        size += len(ws)
-    if held:
-        yield Block.of(held, window)
-
-
-def find(docs: DataFrame, benchmark: DataFrame, id_cols: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``id_cols`` with ``n_words``, ``hits`` (start and end word of each merged hit stretch) and
-    ``items`` (ids of the items that occur) for every row."""
-    spark = docs.sparkSession
-    common.short_batches(spark)
+def _results(batch: pa.RecordBatch, names: list[str], n: list[int], hits: list[list[int]], items: list[list[str]]) -> pa.RecordBatch:
+    hit = [sum(h[1::2]) - sum(h[::2]) for h in hits]
+    digest = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]
+    bad = [h > 0 and 20 * h >= w for h, w in zip(hit, n, strict=True)]
+    made = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(digest, pa.string()), pa.array(bad, pa.bool_()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *made], names=[*names, *MADE])
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[int]:
+    """Start and end of each stretch that sorted spans cover."""
+    out: list[int] = []
+    for a, z in spans:
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], z)
+        else:
+            out += [a, z]
+    return out
+
+
+def find(docs: DataFrame, benchmark: DataFrame, id_cols: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """``id_cols`` with ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``, ``hits`` (start and
+    end word of each merged hit stretch) and ``items`` (ids of the items that occur) for every row."""
+    common.short_batches(docs.sparkSession)
+    common.refuse(id_cols, [*MADE, "__text", "__row"])
     rows = docs.select(*id_cols, F.col(text).alias("__text"))
-    fields = [f for f in rows.schema.fields if f.name != "__text"]
-    names = [f.name for f in fields]
-    rows = rows.selectExpr(*[f"`{n}`" for n in names], "__text", "cast(array() as array<bigint>) as __hit", "cast(array() as array<string>) as __items")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["__text string", "__hit array<bigint>", "__items array<string>"])
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["n_words long", "n_hit long", "n_items long", "items_sha256 string", "contaminated boolean", "hits array<bigint>", "items array<string>"])
-
-    def results(batch: pa.RecordBatch, n: list[int], hits: list[list[int]], items: list[list[str]]) -> pa.RecordBatch:
-        hit = [sum(h[1::2]) - sum(h[::2]) for h in hits]
-        digest = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]
-        bad = [h > 0 and 20 * h >= w for h, w in zip(hit, n, strict=True)]
-        made = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(digest, pa.string()), pa.array(bad, pa.bool_()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *made], names=[*names, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits", "items"])
-
-    queue = [b for b in blocks(benchmark, item_id, item_text, window, block_words) if len(b.starts)]
-    if not queue:
-        queue = [Block.of([], window)]
-    for block in queue:
-        held = spark.sparkContext.broadcast((block, build(block, shingle_counts(docs, block, text)) if len(block.starts) else []))
-        last = block is queue[-1]
-
-        def match(batches: Iterator[pa.RecordBatch], held=held, last=last) -> Iterator[pa.RecordBatch]:
-            b, indexes = held.value
-            for batch in batches:
-                hits, items = batch.column("__hit").to_pylist(), batch.column("__items").to_pylist()
-                ids, starts = _joined(b, batch.column("__text").to_pylist())
-                at, win = matches(b, indexes, ids)
-                doc = np.searchsorted(starts, at, "right") - 1
-                order = np.argsort(doc, kind="stable")
-                at, win, doc = at[order], win[order], doc[order]
-                found, lo = np.unique(doc, return_index=True)
-                for d, i, j in zip(found, lo, np.append(lo, len(doc))[1:], strict=True):
-                    spans = [(int(a), int(z)) for a, z in zip(at[i:j] - starts[d], at[i:j] - starts[d] + b.sizes[win[i:j]], strict=True)]
-                    merged: list[int] = []
-                    for a, z in sorted({*spans, *zip(hits[d][::2], hits[d][1::2], strict=True)}):
-                        if merged and a <= merged[-1]:
-                            merged[-1] = max(merged[-1], z)
-                        else:
-                            merged += [a, z]
-                    hits[d] = merged
-                    items[d] = sorted({*items[d], *(b.items[o] for o in np.unique(b.owner[win[i:j]]))})
-                if last:
-                    yield results(batch, (np.diff(starts) - 1).tolist(), hits, items)
-                else:
-                    yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], batch.column("__text"), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=[*names, "__text", "__hit", "__items"])
-
-        rows = rows.mapInArrow(match, out if last else schema)
-    return rows
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text"))
+    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__text"] + ["n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hits array<bigint>, items array<string>"])
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return _by_index(rows, items, id_cols, window, out) if size <= index_bytes else _by_join(rows, items, id_cols, window, out)
+
+
+def _by_index(rows: DataFrame, items: DataFrame, names: list[str], window: int, out: str) -> DataFrame:
+    """Matches against one index of the whole benchmark, whose size the caller has measured."""
+    block = Block.of([(r["item"], words(r["text"])) for r in items.toLocalIterator()], window)
+    held = rows.sparkSession.sparkContext.broadcast((block, build(block, shingle_counts(rows, block, "__text")) if len(block.starts) else []))
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b, indexes = held.value
+        for batch in batches:
+            hits, items = [[] for _ in range(batch.num_rows)], [[] for _ in range(batch.num_rows)]
+            ids, starts = _joined(b, batch.column("__text").to_pylist())
+            at, win = matches(b, indexes, ids)
+            doc = np.searchsorted(starts, at, "right") - 1
+            order = np.argsort(doc, kind="stable")
+            at, win, doc = at[order], win[order], doc[order]
+            found, lo = np.unique(doc, return_index=True)
+            for d, i, j in zip(found, lo, np.append(lo, len(doc))[1:], strict=True):
+                hits[d] = _merged(sorted({(int(a), int(z)) for a, z in zip(at[i:j] - starts[d], at[i:j] - starts[d] + b.sizes[win[i:j]], strict=True)}))
+                items[d] = sorted(b.items[o] for o in np.unique(b.owner[win[i:j]]))
+            yield _results(batch, names, (np.diff(starts) - 1).tolist(), hits, items)
+
+    return rows.mapInArrow(match, out)
+
+
+def _shingles(ws: list[bytes], n: int) -> list[int]:
+    """Signed XXH64 of every run of ``n`` words."""
+    from xxhash import xxh64_intdigest
+
+    hashed = (xxh64_intdigest(b" ".join(ws[i : i + n]), n) for i in range(len(ws) - n + 1))
+    return [h - (1 << 64) if h >= 1 << 63 else h for h in hashed]
+
+
+def _by_join(rows: DataFrame, items: DataFrame, names: list[str], window: int, out: str) -> DataFrame:
+    """The same by joins, for a benchmark of any size."""
+    rows = common.written(rows.withColumn("__row", F.monotonically_increasing_id()), "documents")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ws = words(value)
+                if not ws:
+                    continue
+                size = min(window, len(ws))
+                n = min(SHINGLE, size)
+                tokens, runs = _shingles(ws, n), len(ws) - size + 1
+                per = size - n + 1
+                yield pa.RecordBatch.from_pydict({"item": pa.array([item] * runs, pa.string()), "size": pa.array([size] * runs, pa.int32()), "n": pa.array([n] * runs, pa.int32()), "tokens": pa.array([tokens[i : i + per] for i in range(runs)], pa.list_(pa.int64()))})
+
+    wins = items.mapInArrow(windows, "item string, size int, n int, tokens array<bigint>")
+    # Equal windows of several items are searched once.
+    wins = common.written(wins.groupBy("size", "n", "tokens").agg(F.collect_set("item").alias("items")).withColumn("win", F.monotonically_increasing_id()), "windows")
+    lengths = sorted(r["n"] for r in wins.select("n").distinct().collect())  # at most SHINGLE of them
+    parts = common.written(wins.select("win", "n", F.posexplode("tokens").alias("at", "token")), "parts")
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ws = words(value)
+                for n in lengths:
+                    found = _shingles(ws, n)
+                    for lo in range(0, len(found), 20_000):
+                        part = found[lo : lo + 20_000]
+                        yield pa.RecordBatch.from_pydict({"row": pa.array([row] * len(part), pa.int64()), "n": pa.array([n] * len(part), pa.int32()), "pos": pa.array(range(lo, lo + len(part)), pa.int64()), "token": pa.array(part, pa.int64())})
+
+    known = parts.select("n", "token").distinct()
+    met = common.written(rows.select("__row", "__text").mapInArrow(places, "row long, n int, pos long, token long").join(known, ["n", "token"], "left_semi"), "places")
+    counts = met.groupBy("n", "token").agg(F.count("*").alias("c"))
+    rarest = parts.join(counts, ["n", "token"], "left").groupBy("win").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "at", "token", "n")).alias("p"), F.count("*").alias("per"))
+    prefix = rarest.where("p.c > 0").select("win", "per", F.col("p.at").alias("at"), F.col("p.token").alias("token"), F.col("p.n").alias("n"))
+    candidates = met.join(prefix, ["n", "token"]).select("row", (F.col("pos") - F.col("at")).alias("start"), "win", "per").where("start >= 0")
+    wanted = common.written(candidates, "candidates").join(parts, "win").select("row", "start", "win", "per", "n", "token", (F.col("start") + F.col("at")).alias("pos"))
+    whole = wanted.join(met, ["row", "n", "pos", "token"]).groupBy("row", "start", "win", "per").agg(F.count("*").alias("c")).where("c = per")
+    # At most one row a word of the document and length of window.
+    found = whole.join(wins.select("win", "size", "items"), "win").groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("__items"))
+    joined = rows.join(found.withColumnRenamed("row", "__row"), "__row", "left").select(*names, "__text", "__spans", "__items")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [_merged([(s["start"], s["end"]) for s in spans or []]) for spans in batch.column("__spans").to_pylist()]
+            yield _results(batch, names, [len(words(t)) for t in batch.column("__text").to_pylist()], hits, [sorted(i or []) for i in batch.column("__items").to_pylist()])
+
+    return joined.mapInArrow(finish, out)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

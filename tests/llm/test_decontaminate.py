@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from rillmesh.llm import decontaminate as dc
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -42,12 +44,17 @@ def tables(spark):
     return docs, items, spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as n_hit", "2 as items"), spark.createDataFrame(items, "item_id long, text string")
 
 
-def test_matches_brute_force_in_one_and_many_blocks(spark):
+def test_matches_brute_force_by_index_and_by_join(spark):
     docs, items, d, b = tables(spark)
     want = sorted(((i, *brute(t, items)) for i, t in docs), key=str)
-    for words in (10_000, 40):
-        got = dc.find(d, b, ["doc_id"], block_words=words).drop("hits", "items")
-        assert sorted(map(tuple, got.collect()), key=str) == want
+    found = []
+    for size in (dc.INDEX_BYTES, 0):
+        got = dc.find(d, b, ["doc_id"], index_bytes=size)
+        found.append(sorted(map(tuple, got.collect()), key=str))
+        assert sorted(map(tuple, got.drop("hits", "items").collect()), key=str) == want
+    assert str(found[0]) == str(found[1])
+    with pytest.raises(ValueError):
+        dc.find(d, b, ["doc_id", "items"])
 
 
 def test_spans_are_merged_word_ranges(spark):
@@ -61,7 +68,8 @@ def test_empty_tables(spark, no_docs, odd_docs):
     _, _, d, b = tables(spark)
     got = dc.find(odd_docs, b.limit(0), ["doc_id"])
     assert got.count() == odd_docs.count() and got.where("contaminated or n_hit > 0").count() == 0
-    assert dc.find(no_docs, b, ["doc_id"]).count() == 0
+    assert dc.find(no_docs, b, ["doc_id"]).count() == 0 and dc.find(no_docs, b, ["doc_id"], index_bytes=0).count() == 0
+    assert dc.find(odd_docs, b, ["doc_id"], index_bytes=0).count() == odd_docs.count()
 
 
 def test_wide_vocabulary_shortens_shingles():
