@@ -12,15 +12,16 @@ shuffle beyond.  Rows other than the keeper become revisit records, which carry
 HTTP head, the payload's digest and a reference, but no payload.
 
 Reading: the index rows of the selected records are dealt by file and stretch of the
-file, sorted by offset, and neighbours whose gap is small are read by one byte-range request
-of bounded size; records are then cut out, inflated, parsed and checked
-against their digest.
+file to as many tasks as their archive bytes ask for (not as the small index would), sorted by
+offset, and neighbours whose gap is small are read by one byte-range request of bounded size;
+records are then cut out, inflated, parsed and checked against their digest.
 
 Defined results: null html is an empty payload; null URLs get a ``urn:page:`` URI and
 control characters in URLs are percent-encoded; of rows with equal payloads all those
 with the largest page_id are responses (so repeated rows stay alike) and rows with a null id
 revisit it; a group with null ids only is all responses; payloads shorter than
-``least_bytes`` are always responses.
+``least_bytes`` are always responses; a very long payload is one record, held whole by one task at a time; an empty table
+gives an empty index and no record; only ``page_id``, ``url`` and ``html`` are read, other columns may have any names.
 """
 
 from __future__ import annotations
@@ -41,7 +42,8 @@ LEAST_BYTES = 0
 ROLL_BYTES = 512 << 20
 #: Largest byte-range request, and the largest gap that one request may bridge.
 RANGE_BYTES, GAP_BYTES = 8 << 20, 64 << 10
-STRETCH_BYTES = 64 << 20
+#: Archive bytes that a reading task should get, and what is dealt out as one.
+TASK_BYTES, STRETCH_BYTES = 64 << 20, 8 << 20
 BROADCAST_ROWS = 100_000
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -160,7 +162,10 @@ def read(index: DataFrame, folder: str, range_bytes: int = RANGE_BYTES, gap_byte
     spark = index.sparkSession
     common.short_batches(spark)
     data = _qualified(spark, f"{folder}/archive")
-    wanted = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / STRETCH_BYTES)).sortWithinPartitions("file", "offset")
+    wanted = index.select("file", "offset", "length")
+    size = wanted.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    wanted = wanted.repartition(tasks, "file", F.floor(F.col("offset") / STRETCH_BYTES)).sortWithinPartitions("file", "offset")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
