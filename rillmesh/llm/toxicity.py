@@ -1,14 +1,14 @@
 """Toxicity by compression distance between two zstandard dictionaries.
 
-Two dictionaries are trained.  The ordinary one holds the words that ordinary text
-uses most, rarest first (later bytes are cheaper to point at).  The toxic one holds
-the passages that set toxic training texts apart, followed by those same ordinary
-words, so that both dictionaries offer ordinary prose the same nearest matches.
-Such passages are maximal stretches of byte n-grams whose share of toxic texts is many times
-their share of ordinary ones.  Words, beginnings of words and phrases that are telling as a
+Both dictionaries are trained by zstandard's dictionary builder.  The ordinary one is trained on windows
+of ordinary texts.  The toxic one is trained on those windows of toxic texts that hold something telling, and ends with
+the ordinary one's bytes, so that both offer ordinary prose the same nearest matches.
+Telling are maximal stretches of byte n-grams, words, beginnings of words and phrases whose share of
+toxic texts is many times their share of ordinary ones.  Words, beginnings and phrases that are telling as a
 whole, though made of syllables that ordinary words share, are units: each is written as a
-code of its own, which no syllable matches in part, and the toxic dictionary holds the codes.
-A window of a few words is compressed once with each dictionary; as both know the ordinary words, the two lengths agree on ordinary
+code of its own, in windows to train on and to score alike, which no syllable matches in part.
+A window of a few words is compressed once with each dictionary (as raw content, so that only what they contain
+tells them apart and not their statistics of symbols); the two lengths agree on ordinary
 prose, and the bytes saved by the toxic dictionary measure what only it knows.
 
 A text's windows are summarised by its largest savings and by how many windows
@@ -17,14 +17,15 @@ training texts that the dictionaries have not seen, gives the score.  The
 threshold itself is the smallest saving that at most ``WINDOW_NOISE`` of ordinary
 calibration texts reach.
 
-Training reads at most ``max_per_class`` labelled texts of each class (those with
-the smallest id hash) of up to ``max_train_chars`` characters; that bound, not the
-corpus, sets the size of the model.  Scoring is a map over all rows and all windows,
-without any shuffle.
+Training reads at most ``max_per_class`` labelled rows of each class (those with the smallest hash of id and text), and
+of a text longer than ``max_train_chars`` as many characters in ``STRETCHES`` stretches spread evenly from its beginning
+to its end; these bounds, not the corpus, set the size of the model and what the driver holds.
+Scoring is a map over all rows and all windows of whole texts, without any shuffle.
 
-Defined results: null and empty texts score 0; repeated rows repeat; with one class
-missing from the labels every score is 0; conflicting labels of one id count as
-toxic; null labels are ignored.
+Defined results: null and empty texts score 0; repeated rows repeat, and rows that share an id are each scored by
+their own text; with one class missing from the labels every score is 0; conflicting labels of one id count as
+toxic; null labels and labels of a null id are ignored; a very long text is scored over all of its windows; an empty table
+gives no row; columns that are carried along may have any name but those that are made, which is refused.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -39,17 +41,20 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .simhash import folded_words, hashed
 
 #: Words in a window, and words from one window's start to the next one's.
 WINDOW, STEP = 6, 5
 #: Length of the byte n-grams that are compared between the classes.
 GRAM = 5
 LEVEL = 6
-ORDINARY_BYTES, TOXIC_BYTES = 100_000, 16_000
+ORDINARY_BYTES, TOXIC_BYTES = 100_000, 32_000
+#: Bytes of one segment that the dictionary builder picks, and of what it counts in it.
+SEGMENT, COUNTED = 256, 8
 #: An n-gram is telling if enough toxic texts have it (one in a hundred, within these bounds) and
 #: its log ratio passes the other; a passage of telling n-grams has at least so many bytes.
 LEAST_TEXTS, LEAST_LOG_RATIO, LEAST_PASSAGE = (4, 8), 3.5, 7
@@ -58,7 +63,9 @@ BEGINNING, PHRASE = 4, 3
 #: Follows each window: the compressor starts no match in a block's last bytes.
 TAIL = b"\x01" * 16
 WINDOW_NOISE = 0.02
-MAX_PER_CLASS, MAX_TRAIN_CHARS = 3000, 20_000
+#: Least hashes of a training text, and how many of them make it a copy.
+COPY = (16, 4)
+MAX_PER_CLASS, MAX_TRAIN_CHARS, STRETCHES = 3000, 20_000, 10
 
 
 def flat(text: str | None) -> bytes:
@@ -278,31 +285,56 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> list[float]:
     return w.tolist()
 
 
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """The dictionary that zstandard trains on ``samples``; of too few samples to train on, the samples themselves."""
+    try:
+        return zstd.train_dictionary(size, samples, k=SEGMENT, d=COUNTED, level=LEVEL).as_bytes()
+    except zstd.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def _originals(texts: list[str]) -> list[str]:
+    """``texts`` without near copies of earlier ones: those that share ``COPY[1]`` of their ``COPY[0]`` least
+    hashes of five words with one.  Copies would be counted as if they were so many texts, and would
+    stand on both sides of the calibration."""
+    kept: list[str] = []
+    holders: dict[int, list[int]] = {}
+    for t in texts:
+        least = np.unique(hashed(folded_words(t), 5))[: COPY[0]].tolist()
+        votes = Counter(i for h in least for i in holders.get(h, ()))
+        if votes and max(votes.values()) >= min(COPY[1], len(least)):
+            continue
+        for h in least:
+            holders.setdefault(h, []).append(len(kept))
+        kept.append(t)
+    return kept
+
+
 def train(toxic: list[str], ordinary: list[str]) -> Model:
-    """The model of two bounded samples: two thirds make the dictionaries, one third calibrates."""
+    """The model of two bounded samples: of their texts that aren't near copies, two thirds make the dictionaries and
+    one third calibrates."""
     random.Random(7).shuffle(toxic)
     random.Random(7).shuffle(ordinary)
+    toxic, ordinary = _originals(toxic), _originals(ordinary)
     if not toxic or not ordinary:
         return Model(b"", b"")
     cut = lambda xs: max(1, len(xs) * 2 // 3)
-    seen_toxic, seen_ordinary = ([flat(t) for t in xs[: cut(xs)]] for xs in (toxic, ordinary))
-    # Words are weighed over ordinary texts only; later bytes cost less to reference.
-    words: Counter = Counter()
-    for b in seen_ordinary:
-        words.update(b.split())
-    common_words: list[bytes] = []
-    room = ORDINARY_BYTES
-    for word, _ in words.most_common():
-        room -= len(word) + 1
-        if room < 0:
-            break
-        common_words.append(word)
-    ordinary_content = b" " + b" ".join(reversed(common_words)) + b" "
-    passages = _passages(seen_toxic, _telling(seen_toxic, seen_ordinary))
+    seen_toxic, seen_ordinary = (xs[: cut(xs)] for xs in (toxic, ordinary))
+    units = _units(seen_toxic, seen_ordinary)
+    bytes_toxic, bytes_ordinary = ([flat(t) for t in xs] for xs in (seen_toxic, seen_ordinary))
+    passages = _passages(bytes_toxic, _telling(bytes_toxic, bytes_ordinary))
     ranked = [p for p, n in sorted(passages.items(), key=lambda x: (x[1], x[0])) if n >= 2]
-    units = _units(*[xs[: cut(xs)] for xs in (toxic, ordinary)])
-    codes = b" " + b"".join(code(u) + b" " for u in units.names())
-    model = Model(ordinary_content, b"\0".join(ranked)[-TOXIC_BYTES:] + codes + ordinary_content, units=units)
+    # A window tells something if it has a unit's code or one of the passages.
+    codes = {code(u) for u in units.names()}
+    apart = re.compile(b"|".join([b"\x02[0-9a-f]{10}\x03", *(re.escape(p) for p in sorted(ranked, key=lambda p: (-len(p), p)))]))
+    telling: list[bytes] = []
+    for t in seen_toxic:
+        for w in windows(t, units=units):
+            telling += [b" " + m + b" " for m in apart.findall(w)]
+    ordinary_content = _trained([w for t in seen_ordinary for w in windows(t, units=units)], ORDINARY_BYTES)
+    toxic_content = _trained(telling, TOXIC_BYTES)
+    missing = sorted(c for c in codes if c not in toxic_content)
+    model = Model(ordinary_content, toxic_content + b" " + b" ".join(missing) + b" " + ordinary_content, units=units)
     held = [(t, 1) for t in toxic[cut(toxic) :] or toxic] + [(t, 0) for t in ordinary[cut(ordinary) :] or ordinary]
     saved = model.savings(model.compressors(), [t for t, _ in held])
     y = np.array([k for _, k in held], float)
@@ -312,20 +344,30 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
     return model
 
 
+def spread(text: Column, most: int) -> Column:
+    """Of a text of more than ``most`` characters as many, in stretches spread evenly over it."""
+    each = max(1, most // STRETCHES)
+    step = (F.length(text) - each) / F.lit(STRETCHES - 1)
+    parts = [F.substring(text, F.floor(step * i).cast("int") + 1, F.lit(each)) for i in range(STRETCHES)]
+    return F.when(F.length(text) > most, F.concat_ws(" ", *parts)).otherwise(text)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_per_class: int = MAX_PER_CLASS, max_train_chars: int = MAX_TRAIN_CHARS) -> Model:
     """Trains on the bounded sample of ``labels`` that the caller has already folded."""
-    labels = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), (F.col(label) > 0).cast("int").alias("y"))
-    chosen: dict[int, int] = {}
+    labelled = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    keys = rows.select("id", "h").join(labelled, "id").distinct()
+    chosen: dict[tuple[int, int], int] = {}
     for y in (0, 1):
-        for row in labels.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_per_class).collect():
-            chosen[row["id"]] = max(y, chosen.get(row["id"], 0))
+        for row in keys.where(F.col("y") == y).orderBy(F.xxhash64("id", "h"), "id", "h").limit(max_per_class).collect():
+            chosen[row["id"], row["h"]] = y
     spark = docs.sparkSession
-    # At most 2 * max_per_class ids: a proven bound, so they may be broadcast.
-    ids = spark.createDataFrame([(i,) for i in chosen] or [], "id long")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).where(F.length("t") <= max_train_chars).join(F.broadcast(ids), "id", "left_semi")
+    # At most 2 * max_per_class keys: a proven bound, so they may be broadcast; a row each comes back.
+    wanted = spark.createDataFrame(list(chosen), "id long, h long")
+    found = rows.join(F.broadcast(wanted), ["id", "h"], "left_semi").select("id", "h", spread(F.col("t"), max_train_chars).alias("t")).groupBy("id", "h").agg(F.min("t").alias("t"))
     texts: tuple[list[str], list[str]] = ([], [])
-    for row in sorted(set(rows.toLocalIterator())):
-        texts[chosen[row["id"]]].append(row["t"])
+    for row in sorted(found.collect()):
+        texts[chosen[row["id"], row["h"]]].append(row["t"])
     return train(texts[1], texts[0])
 
 
@@ -333,6 +375,7 @@ def apply(docs: DataFrame, model: Model, id_cols: list[str], text: str = "text")
     """``id_cols`` (the text may be one of them) with ``score``, ``predicted``, ``windows`` and
     ``most_saved`` for every row."""
     common.short_batches(docs.sparkSession)
+    common.refuse(id_cols, ["score", "predicted", "windows", "most_saved", "__text"])
     kept = docs.select(*id_cols, F.col(text).alias("__text"))
     fields = [f for f in kept.schema.fields if f.name != "__text"]
 
