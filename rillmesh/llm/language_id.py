@@ -12,8 +12,10 @@ so what is shuffled is bounded by tasks x languages x dimensions.  Prediction is
 map without any shuffle.
 
 Defined results: null text, or a text without a letter, gives ``und`` and score
-0; rows repeat if the input repeats them; with no learnable language every text is
-``und``; equal cosines take the alphabetically first language.
+0; rows repeat if the input repeats them, and rows that share an id (or have none) are each predicted by their own text; null
+languages are not learnt; with no learnable language every text is ``und``; equal cosines take the alphabetically first language;
+very long texts are encoded whole; an empty table gives no row; columns that are carried along may have any name
+but those that are made, which is refused.
 """
 
 from __future__ import annotations
@@ -32,6 +34,10 @@ ORDER = 3
 UNDETERMINED = "und"
 #: Texts whose n-gram table is multiplied at once; bounds a task's memory.
 BLOCK = 64
+#: Unit vectors are summed as integers of this scale, so that sums don't depend on their order.
+SCALE = 1 << 24
+#: Languages that may be learnt: what the driver and every worker hold is so many vectors at most.
+MOST_LANGUAGES = 10_000
 #: Sharpness of the cosine softmax that becomes the score.
 SHARPNESS = 12.0
 
@@ -112,16 +118,18 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions: int
         for batch in batches:
             vectors = encoder.encode(batch.column(0).to_pylist())
             norms = np.linalg.norm(vectors, axis=1)
-            vectors /= np.where(norms > 0, norms, 1)[:, None]
+            vectors = np.rint(vectors * (SCALE / np.where(norms > 0, norms, 1))[:, None].astype(np.float64)).astype(np.int64)
             langs = np.array(batch.column(1).to_pylist(), object)
             for name in set(langs):
-                part = vectors[langs == name].sum(axis=0, dtype=np.float64)
+                part = vectors[langs == name].sum(axis=0)
                 sums[name] = sums[name] + part if name in sums else part
-        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "v": pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))})
+        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "v": pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))})
 
-    parts = docs.where(F.col(lang).isNotNull()).select(F.col(text), F.col(lang)).mapInArrow(bundle, "lang string, v array<double>")
+    parts = docs.where(F.col(lang).isNotNull()).select(F.col(text), F.col(lang)).mapInArrow(bundle, "lang string, v array<bigint>")
     summed = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
-    rows = summed.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).collect()
+    rows = summed.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).limit(MOST_LANGUAGES + 1).collect()
+    if len(rows) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     found = {r["lang"]: np.array([p["x"] for p in r["v"]], np.float64) for r in rows}
     return {k: found[k] / n for k in sorted(found) if (n := np.linalg.norm(found[k])) > 0}
 
@@ -129,6 +137,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions: int
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_cols: list[str], text: str = "text", order: int = ORDER) -> DataFrame:
     """``id_cols`` with ``lang_pred``, ``score`` and ``cosine`` for every row."""
     common.short_batches(docs.sparkSession)
+    common.refuse(id_cols, ["lang_pred", "score", "cosine", "__text"])
     names = list(prototypes)
     dimensions = len(prototypes[names[0]]) if names else DIMENSIONS
     matrix = np.stack([prototypes[n] for n in names]).astype(np.float32) if names else np.zeros((0, dimensions), np.float32)

@@ -54,3 +54,43 @@ def test_query(spark):
     held = got.where("held_out")
     assert held.where("lang = lang_pred").count() >= 0.95 * held.count()
     assert got.where(F.col("held_out") != (F.crc32(F.col("doc_id").cast("string")) % 3 == 1)).count() == 0
+
+def test_prediction_matches_brute_force(spark, odd_docs):
+    """Vectors of n-grams one by one, bundles, prototypes and cosines in plain loops."""
+    import math
+
+    encoder = lid.Encoder(64, 3)
+
+    def bundle(text):
+        letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        if not letters.strip():
+            return None
+        letters = " " + " ".join(letters.split()) + " "
+        out = np.zeros(64)
+        for i in range(len(letters) - 2):
+            v = np.ones(64)
+            for k in range(3):
+                v = v * np.roll(encoder.vector(ord(letters[i + k])), 2 - k)
+            out += v
+        return out
+
+    rng = random.Random(4)
+    train = [(i, sentence(rng, "abcde" if i % 2 else "cdefg", 12), "xx" if i % 2 else "yy") for i in range(40)] + [(90, None, "xx"), (91, "12 34", "zz"), (92, "no language", None)]
+    sums = {}
+    for _, text, lang in train:
+        b = bundle(text)
+        if lang and b is not None and np.linalg.norm(b):
+            sums[lang] = sums.get(lang, 0) + b / np.linalg.norm(b)
+    protos = {k: v / np.linalg.norm(v) for k, v in sums.items()}
+    found = lid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"), dimensions=64)
+    assert sorted(found) == sorted(protos) == ["xx", "yy"] and all(np.allclose(found[k], protos[k], atol=1e-5) for k in protos)
+    docs = spark.createDataFrame([(i, sentence(rng, "abcdefg", 9)) for i in range(40)], "doc_id long, text string").unionByName(odd_docs.select("doc_id", "text"))
+    for r in lid.predict(docs, found, ["doc_id", "text"]).collect():
+        b = bundle(r["text"])
+        if b is None or not np.linalg.norm(b):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        cos = {k: float(b @ p / np.linalg.norm(b)) for k, p in protos.items()}
+        best = max(cos.values())
+        assert cos[r["lang_pred"]] > best - 1e-4
+        assert abs(r["score"] - 1 / sum(math.exp(lid.SHARPNESS * (c - best)) for c in cos.values())) < 1e-3
