@@ -83,3 +83,43 @@ def test_whole_words_and_phrases_of_common_syllables_are_told_apart():
         model = tx.train(texts(150, 1, bad), texts(600, 2, None))
         scored = lambda ts, m=model: [m.score(s) >= 0.5 for s in m.savings(m.compressors(), ts)]
         assert sum(scored(texts(100, 3, bad))) >= 95 and sum(scored(texts(100, 4, None))) <= 2, bad
+
+
+def test_scores_match_windows_compressed_one_by_one(spark, odd_docs):
+    """Every window of every text by a plain call of the compressor, every text by a plain sum."""
+    import math
+
+    import zstandard as zstd
+
+    rows = corpus(300, 7)
+    model = tx.train([t for _, t, y in rows if y], [t for _, t, y in rows if not y])
+    params = zstd.ZstdCompressionParameters.from_level(tx.LEVEL, format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+    plain = [zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(d, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=params) for d in (model.ordinary, model.toxic)]
+
+    def brute(text):
+        words = [b for b in model.units.coded((text or "").lower().split())]
+        if not words:
+            return 0.0
+        saved = []
+        for i in range(0, max(1, len(words) - tx.WINDOW + tx.STEP), tx.STEP):
+            w = b" " + b" ".join(words[i : i + tx.WINDOW]) + b" " + tx.TAIL
+            saved.append(len(plain[0].compress(w)) - len(plain[1].compress(w)))
+        top = [min(16, max(0, s)) for s in sorted(saved, reverse=True)[:3]] + [0] * 3
+        hits = sum(s >= model.threshold for s in saved)
+        z = sum(a * b for a, b in zip(model.weights, [1, *top[:3], math.log1p(hits), 10 * hits / len(saved)], strict=True))
+        return 1 / (1 + math.exp(-max(-60, min(60, z))))
+
+    docs = spark.createDataFrame([(i, t) for i, t, _ in corpus(60, 8)], "doc_id long, text string").unionByName(odd_docs.select("doc_id", "text"))
+    for r in tx.apply(docs, model, ["doc_id", "text"]).collect():
+        assert abs(r["score"] - brute(r["text"])) < 1e-9 and r["predicted"] == int(r["score"] >= 0.5)
+
+
+def test_near_copies_count_once_and_long_texts_are_spread(spark):
+    rng = random.Random(2)
+    base = sentence(rng, "abcdefghij", 200)
+    copies = [base + f" end{i}" for i in range(10)]
+    other = [sentence(rng, "abcdefghij", 200) for _ in range(5)]
+    assert len(tx._originals(copies + other)) == 6
+    long = " ".join(f"w{i}" for i in range(9000))
+    got = spark.createDataFrame([(long,), ("short",)], "t string").select(tx.spread(F.col("t"), 1000).alias("t")).collect()
+    assert got[1]["t"] == "short" and len(got[0]["t"]) <= 1010 and got[0]["t"].startswith("w0 ") and got[0]["t"].endswith("w8999")
