@@ -15,10 +15,15 @@ Hashes of tokens, s-mers and k-mers are XXH64.  Each array is bound once to a la
 variable (see :func:`_let`), so nothing is evaluated more than once per position and
 the cost is linear in the text's length.
 
-Defined results: null text counts as empty and gives the empty fingerprint; a text of
-fewer than ``k`` tokens has one anchor, its whole token sequence; two empty fingerprints
-are alike (1.0), an empty and a non-empty one are not (0.0); repeated ids are ordered by
-text; null ids come first.
+Tokens rather than characters are the letters of a k-mer because the built-in functions cost about as much for every
+letter; README gives the measured figures of both.
+
+Defined results: null text counts as empty and gives the empty fingerprint; a text without an anchor (one of
+fewer than ``k`` tokens, or a short one whose k-mers have their smallest s-mer inside) has one, its whole token
+sequence; two empty fingerprints are alike (1.0), an empty and a non-empty one are not (0.0); null ids come
+first; rows of one id are ordered by the hash of their text, then by text; repeated rows repeat and the one follows
+the other; a single row follows itself; very long texts are fingerprinted whole; an empty table gives no row; other columns are
+not read, or carried along under any names that don't begin with two underscores.
 """
 
 from __future__ import annotations
@@ -54,7 +59,7 @@ def anchors(text: Column, k: int = K, s: int = S, places: bool = False) -> Colum
 
     def of_tokens(words: Column) -> Column:
         hashes = F.transform(words, lambda t: F.xxhash64(t))
-        return F.when(F.size(words) == 0, F.array().cast("array<struct<at:int,h:int>>" if places else "array<int>")).when(F.size(words) < k, _whole(words)).otherwise(_let(hashes, of_hashes))
+        return F.when(F.size(words) == 0, F.array().cast("array<struct<at:int,h:int>>" if places else "array<int>")).when(F.size(words) < k, _whole(words)).otherwise(some(words, _let(hashes, of_hashes)))
 
     def _whole(words: Column) -> Column:
         h = _short(F.xxhash64(F.array_join(words, " ")))
@@ -78,6 +83,9 @@ def anchors(text: Column, k: int = K, s: int = S, places: bool = False) -> Colum
         starts = F.sequence(F.lit(0), F.size(m) - gap - 1)
         return F.transform(F.filter(starts, edge), name)
 
+    def some(words: Column, found: Column) -> Column:
+        return _let(found, lambda a: F.when(F.size(a) > 0, a).otherwise(_whole(words)))
+
     return _let(tokens(F.coalesce(text, F.lit(""))), of_tokens)
 
 
@@ -110,52 +118,76 @@ def fingerprints(docs: DataFrame, id_cols: list[str], text: str = "text", k: int
     return docs.select(*id_cols, F.array_distinct(anchors(F.col(text), k, s)).alias("anchors")).withColumn("fingerprint", fingerprint(F.col("anchors")))
 
 
-#: Rows per range, and the bounds of the number of ranges: the upper one is what a broadcast holds
-#: (a few bytes each), whatever the size of the table.
-RANGE_ROWS, LEAST_RANGES, MOST_RANGES, CELLS = 2000, 1024, 65_536, 64
+#: Rows per range, least number of ranges, and the quantiles that bound the cells they are cut from.
+RANGE_ROWS, LEAST_RANGES, CELLS = 2000, 1024, 64
+#: An id with more than this share of the rows (and four ranges' worth) has ranges of its own, so there are at most so many.
+HOT_SHARE = 1 / 1000
+#: Ranges up to which their first ids are broadcast (a few bytes each); they are joined by shuffle beyond.
+BROADCAST_RANGES = 65_536
+#: Characters of text that a task should get.
+TASK_CHARS = 16 << 20
+
+
+def _place(text: str) -> Column:
+    """Order of the rows of one id."""
+    return F.xxhash64(text)
 
 
-def with_next(docs: DataFrame, order: str = "doc_id", text: str = "text", cells: int = CELLS, per_cell: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, order: str = "doc_id", text: str = "text", cells: int = CELLS, range_rows: int = RANGE_ROWS, least_ranges: int = LEAST_RANGES, broadcast_ranges: int = BROADCAST_RANGES) -> DataFrame:
     """Copies of each row such that a window over ``__range`` sees every row's successor in
     ascending ``order`` (the last row's: the first).
 
     Rows are dealt by ranges of ``order`` whose bounds are quantiles, each cut evenly into
-    ``per_cell`` parts (more of them for larger tables).  A range's first row is also sent, as a
+    parts, more of them for larger tables.  Rows without an id, and those of an id that many rows share, are cut
+    further by the hash of their text.  A range's first row is also sent, as a
     guard, to the range before; texts are shuffled once and nothing is sorted globally.
     ``__kind``: 0 own row, 1 guard, 2 the first row again after the last.
     """
-    key = F.col(order)
+    key, place = F.col(order), _place(text)
     marks = [i / cells for i in range(1, cells)]
-    stats = docs.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("n"), F.percentile_approx(order, marks, 10_000).alias("marks")).first()
-    if per_cell is None:
-        per_cell = -(-min(MOST_RANGES, max(LEAST_RANGES, stats["n"] // RANGE_ROWS)) // cells)
+    stats = docs.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("n"), F.count(order).alias("named"), F.sum(F.length(text)).alias("chars"), F.percentile_approx(order, marks, 10_000).alias("marks")).first()
+    n = stats["n"]
+    per_cell = -(-max(least_ranges, n // range_rows) // cells)
     lo, hi = (0, 0) if stats["lo"] is None else (int(stats["lo"]), int(stats["hi"]))
     bounds = sorted({lo, *map(int, stats["marks"] or []), hi + 1})
     starts, ends = (F.array(*[F.lit(x) for x in part]) for part in (bounds[:-1], bounds[1:]))
-    cell = F.greatest(F.lit(1), F.size(F.filter(starts, lambda x: x <= key)))
-    placed = docs.withColumn("__cell", F.when(key.isNull(), 1).otherwise(cell))
+    cell = F.when(key.isNull(), 1).otherwise(F.greatest(F.lit(1), F.size(F.filter(starts, lambda x: x <= key))))
     a, b = F.element_at(starts, F.col("__cell")), F.element_at(ends, F.col("__cell"))
-    part = F.when(key.isNull(), 0).otherwise(F.least(F.lit(per_cell - 1), F.floor((key - a).cast("double") * per_cell / (b - a))))
-    placed = placed.withColumn("__range", (F.col("__cell") * per_cell + part).cast("int")).drop("__cell")
-    # Each range's first id with the range before it: at most cells * per_cell rows, so they may
-    # meet in one window and be broadcast.  Null ids come first, in the first range; then it is
-    # they that follow the last row, and no guard of the first range is needed.
-    firsts = placed.where(key.isNotNull()).groupBy("__range").agg(F.min(order).alias("__id"))
+    part = F.least(F.lit(per_cell - 1), F.floor((key - a).cast("double") * per_cell / (b - a)))
+    # Ids that many rows share: at most 1 / HOT_SHARE of them, counted with partial sums.
+    hot = {r[order]: r["count"] for r in docs.where(key.isNotNull()).groupBy(order).count().where(F.col("count") > max(4 * range_rows, int(n * HOT_SHARE))).collect()}
+    below = F.array_max(F.filter(F.array(*[F.lit(int(x)) for x in sorted(hot)]), lambda x: x <= key)) if hot else F.lit(None)
+    pieces = F.lit(1)
+    for x, rows in hot.items():
+        pieces = F.when(key == int(x), -(-rows // range_rows)).otherwise(pieces)
+    pieces = F.when(key.isNull(), max(1, -(-(n - stats["named"]) // range_rows))).otherwise(pieces)
+    share = place.cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    cut = F.least(pieces - 1, F.floor(share * pieces)).cast("int")
+    placed = docs.withColumn("__cell", cell).withColumn("__place", place)
+    number = F.when(key.isNull(), -1).otherwise((F.col("__cell") * per_cell + part).cast("int"))
+    placed = placed.withColumn("__range", F.struct(number.alias("part"), below.cast("long").alias("below"), F.coalesce((key > below).cast("int"), F.lit(0)).alias("after"), cut.alias("cut"))).drop("__cell")
+    # Each range's first row with the range before it: one row a range.
+    firsts = placed.groupBy("__range").agg(F.min(F.struct(F.col(order).alias("id"), F.col("__place").alias("place"))).alias("__first"))
     by_range = Window.orderBy("__range")
-    last = firsts.agg(F.max("__range").alias("r")).first()["r"] or per_cell
-    nulls = not docs.where(key.isNull()).isEmpty()
-    guards = firsts.withColumn("__g", F.lag("__range").over(by_range)).withColumn("__k", F.when(F.col("__g").isNull(), 2).otherwise(1)).drop("__range")
-    guards = guards.where("__k = 1") if nulls else guards.withColumn("__g", F.coalesce("__g", F.lit(last)))
-    dealt = placed.join(F.broadcast(guards), key == F.col("__id"), "left")
-    dealt = dealt.withColumn("__g", F.when(key.isNull(), last).otherwise(F.col("__g"))).withColumn("__k", F.when(key.isNull(), 2).otherwise(F.col("__k")))
+    last = firsts.agg(F.max("__range").alias("r"), F.count("*").alias("n")).first()
+    to = F.lag("__range").over(by_range)
+    guards = firsts.withColumn("__g", to).select(F.col("__first.id").alias("__id"), F.col("__first.place").alias("__at"), F.when(F.col("__g").isNull(), 2).otherwise(1).alias("__k"), "__g")
+    if last["r"] is not None:
+        r = last["r"]
+        end = F.struct(F.lit(r["part"]).alias("part"), F.lit(r["below"]).cast("long").alias("below"), F.lit(r["after"]).alias("after"), F.lit(r["cut"]).alias("cut"))
+        guards = guards.withColumn("__g", F.coalesce("__g", end))
+    if last["n"] <= broadcast_ranges:
+        guards = F.broadcast(guards)
+    dealt = placed.join(guards, key.eqNullSafe(F.col("__id")) & (F.col("__place") == F.col("__at")), "left")
     own, more = F.struct(F.col("__range").alias("r"), F.lit(0).alias("k")), F.struct(F.col("__g").alias("r"), F.col("__k").alias("k"))
-    copies = dealt.select(*docs.columns, F.explode(F.when(F.col("__g").isNull(), F.array(own)).otherwise(F.array(own, more))).alias("__copy"))
-    return copies.select(*docs.columns, F.col("__copy.r").alias("__range"), F.col("__copy.k").alias("__kind")).repartition("__range")
+    copies = dealt.select(*docs.columns, "__place", F.explode(F.when(F.col("__g").isNull(), F.array(own)).otherwise(F.array(own, more))).alias("__copy"))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(stats["chars"] or 0) // TASK_CHARS))
+    return copies.select(*docs.columns, "__place", F.col("__copy.r").alias("__range"), F.col("__copy.k").alias("__kind")).repartition(tasks, "__range")
 
 
-#: Order inside a range: own rows and the next range's guard by id, the wrapped first row last.
+#: Order inside a range: own rows and the next range's guard, the wrapped first row last.
 def _in_range(order: str, text: str) -> Window:
-    return Window.partitionBy("__range").orderBy(F.expr("__kind = 2").asc(), F.col(order).asc_nulls_first(), F.col(text).asc_nulls_first())
+    return Window.partitionBy("__range").orderBy(F.expr("__kind = 2").asc(), F.col(order).asc_nulls_first(), F.col("__place").asc(), F.col(text).asc_nulls_first(), F.col("__kind").asc())
 
 
 def edited(text: Column, following: Column) -> Column:

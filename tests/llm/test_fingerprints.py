@@ -35,13 +35,14 @@ def brute(text, k=fp.K, s=fp.S):
     h = [signed(xxh64_intdigest(x.encode(), 42), 64) for x in w]
     m = [chain(h[i : i + s]) for i in range(len(h) - s + 1)]
     gap, out = k - s, []
+    whole = [signed(xxh64_intdigest(" ".join(w).encode(), 42), 32)]
     for i in range(len(m) - gap):
         inside = m[i : i + gap + 1]
         if min(inside) in (inside[0], inside[-1]):
             a = signed(chain([m[i + j] for j in range(0, gap, s)] + [m[i + gap]]), 32)
             if a not in out:
                 out.append(a)
-    return out
+    return out or whole
 
 
 def test_anchors_match_brute_force(spark, odd_docs):
@@ -69,7 +70,7 @@ def check(spark, docs, monkeypatch, **options):
     if options:
         real = fp.with_next
         monkeypatch.setattr(fp, "with_next", lambda d: real(d, **options))
-    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, signed(xxh64_intdigest(r[1].encode(), 42), 64), r[1].encode()))
     want = []
     for i, (doc, text) in enumerate(rows):
         nxt = rows[(i + 1) % len(rows)][1]
@@ -84,7 +85,7 @@ def check(spark, docs, monkeypatch, **options):
 
 
 def test_query_with_odd_rows(spark, odd_docs, monkeypatch):
-    check(spark, odd_docs.drop("anchors"), monkeypatch, cells=3, per_cell=2)
+    check(spark, odd_docs.drop("anchors"), monkeypatch, cells=3, least_ranges=6)
 
 
 def test_query_with_gaps_and_many_ranges(spark, monkeypatch):
@@ -92,6 +93,26 @@ def test_query_with_gaps_and_many_ranges(spark, monkeypatch):
     check(spark, docs, monkeypatch)
 
 
+def test_hot_and_null_ids_are_cut(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    text = lambda: " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 9)))
+    docs = spark.createDataFrame([(i, text()) for i in range(20)] + [(7, text()) for _ in range(40)] + [(None, text()) for _ in range(30)] + [(12, text()) for _ in range(25)] + [(3, "same same")] * 4, "doc_id long, text string")
+    got = fp.with_next(docs, cells=2, range_rows=4, least_ranges=2, broadcast_ranges=0)
+    own = got.where("__kind = 0")
+    assert own.count() == docs.count() and own.where("doc_id = 7").select("__range").distinct().count() >= 5 and own.where("doc_id is null").select("__range").distinct().count() >= 5
+    check(spark, docs, monkeypatch, cells=2, range_rows=4, least_ranges=2, broadcast_ranges=0)
+
+
+def test_every_text_with_a_token_has_an_anchor(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(" ".join(rng.choice("abcdefghijkl") for _ in range(n)),) for n in (1, 4, 5, 5, 5, 5, 6, 6, 6, 7) for _ in range(8)]
+    assert spark.createDataFrame(rows, "t string").where(F.size(fp.anchors(F.col("t"))) == 0).count() == 0
+
+
 def test_single_and_empty_tables(spark, no_docs, monkeypatch):
     check(spark, spark.createDataFrame([(5, "a b c d e f g h")], "doc_id long, text string"), monkeypatch)
     check(spark, spark.createDataFrame([(None, "a b c d e f g h"), (None, "b")], "doc_id long, text string"), monkeypatch)
