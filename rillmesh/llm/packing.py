@@ -18,8 +18,11 @@ therefore lies in exactly one piece and no padding is left.
 A sequence's id is the task's partition number in the high bits and a counter in the low
 33, so a lost task that runs again over the same partition writes the same rows.
 
-Defined results: null text is empty and packs as the end id alone; repeated rows are
-packed each by itself; an empty table gives no piece.
+How often the bound on open windows is met depends on the task: README gives figures.
+
+Defined results: null text is empty and packs as the end id alone; repeated rows, and rows that share an id or have
+none, are packed each by itself; a very long text fills whole sequences as it goes; of equally good levels the fullest
+window is taken; an empty table gives no piece; only the id and text columns are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -45,10 +48,12 @@ MAX_OPEN = 8192
 class ByteBPE:
     """The ids that ``tokenizers`` gives with the file at ``path``, at several times its speed.
 
-    The file's vocabulary and merge order define the ids; ``tiktoken`` runs the same merges
-    over them.  Texts with an added token's string, and everything if the file isn't a plain byte
-    BPE, go to ``tokenizers`` itself, and each worker encodes its first texts with
-    both: should they ever differ, that worker stays with ``tokenizers``.
+    ``tiktoken`` merges any neighbours whose join is in the vocabulary, least id first; the file lists
+    the pairs that may merge, in order.  Both do the same if the listed merges' results have ascending ids and every
+    vocabulary entry's own letters merge into it: were the two to part at a join ``t`` that isn't listed for its
+    neighbours, ``t`` by itself would stop there too.  That is tested on load, entry by entry.  Texts with an added token's
+    string, and everything if the test fails or the file isn't a plain byte BPE, go to ``tokenizers`` itself; and each worker
+    encodes its first texts with both, as the pattern that splits texts is each library's own.
     """
 
     def __init__(self, path: str):
@@ -73,6 +78,11 @@ class ByteBPE:
         before, model = told.get("pre_tokenizer") or {}, told["model"]
         if told.get("normalizer") or model["type"] != "BPE" or any(before.get(k) != v for k, v in plain.items()):
             return None
+        ids = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if any(a >= b for a, b in zip(ids, ids[1:], strict=False)):
+            return None
+        if any(len(self.tokenizer.model.tokenize(t)) != 1 for t in model["vocab"] if t not in self.added):
+            return None
         # Byte-level vocabularies write each byte as a printable character.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(shown)]
