@@ -10,11 +10,14 @@ with how many characters of the previous output survived.
 Prefixes would cost a quadratic amount of rendering on a long conversation, so a
 template states ``lookback``: how many earlier turns may influence a turn's
 rendering.  The sliding list of turns handed to the template is then cut to that many
-turns of context, with ``window`` new turns at a time; ``lookback=None`` renders every
-prefix whole.
+turns of context, with ``window`` new turns at a time.  The statement is checked: each window is also rendered
+together with the one before it, and a template that then writes anything else raises :class:`LooksBack`, so
+a preamble before the first turn only, or a history trimmed to fewer than ``2 * window`` turns, is not passed over.
+``lookback=None`` renders every prefix whole.
 
 A shuffle brings a conversation's turns (or a block of them) together; the rows arrive sorted
-and are consumed as a stream, so a task holds one window of turns, never a conversation.
+and are consumed as a stream, so with a stated ``lookback`` a task holds two windows of turns, never a
+conversation; with ``None`` it holds the conversation at hand.
 
 The default template marks turns with ``<|turn|>`` and ``<|end|>`` and escapes, inside
 roles and texts, every marker-like opening ``<|`` and the escape character itself,
@@ -23,7 +26,8 @@ so a text that contains control strings of this or of other common templates
 
 Defined results: null text and null role are empty strings; equal turn numbers are
 ordered by role, then text; null turn numbers come first; repeated rows are repeated
-turns; rows with a null conv_id form one conversation with a null id.
+turns; rows with a null conv_id form one conversation with a null id; very long texts and conversations are formatted
+whole; an empty table gives no row; only the four columns are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -113,18 +117,34 @@ def turn_spans(turns: list[Turn], render: Callable[[list[Turn]], str], known: in
     return spans
 
 
+class LooksBack(ValueError):
+    """A template's output depends on more earlier turns than it states."""
+
+
 def stream_spans(turns: Iterator[Turn], template: Template, window: int = WINDOW) -> Iterator[tuple[Turn, Span]]:
     """Spans of a conversation of any length, ``window`` new turns at a time."""
     context: list[Turn] = []
     pending: list[Turn] = []
+    before: tuple[list[Turn], list[Span]] | None = None
+
+    def spans() -> list[Span]:
+        found = turn_spans(context + pending, template.render, len(context))
+        if before is not None and not any(s.rewrites for s in before[1] + found):
+            both = template.render(before[0] + pending)
+            if both != template.render(before[0]) + "".join(s.added for s in found):
+                raise LooksBack(f"a turn is written otherwise with more than {template.lookback} turns before it")
+        return found
+
     for turn in turns:
         pending.append(turn)
         if len(pending) == window and template.lookback is not None:
-            yield from zip(pending, turn_spans(context + pending, template.render, len(context)), strict=True)
+            found = spans()
+            yield from zip(pending, found, strict=True)
+            before = (context + pending, found)
             context = (context + pending)[-template.lookback :] if template.lookback else []
             pending = []
     if pending:
-        yield from zip(pending, turn_spans(context + pending, template.render, len(context)), strict=True)
+        yield from zip(pending, spans(), strict=True)
 
 
 _OUT = "conv_id {id}, turn_no long, turn long, role string, formatted string, start long, end long, loss_start long, loss_end long, rewrites_history boolean"

@@ -1,3 +1,4 @@
+import pytest
 import hashlib
 import random
 
@@ -70,3 +71,17 @@ def test_turn_rows_locate_texts(spark):
     out = "".join(r["formatted"] for r in rows)
     assert out[rows[1]["start"] : rows[1]["end"]] == rows[1]["formatted"] and cf.unescape(out[rows[1]["loss_start"] : rows[1]["loss_end"]]) == "<|x"
     assert rows[0]["loss_start"] is None
+
+
+def test_a_false_lookback_is_found():
+    turns = [("user", f"t{i}") for i in range(70)]
+    plain = cf.Template()
+    preamble = cf.Template(render=lambda ts: "BEGIN" + cf.turn_template(ts), lookback=0, parse=None)
+    trims = cf.Template(render=lambda ts: cf.turn_template(ts[-20:]), lookback=0, parse=None)
+    pairs = cf.Template(render=lambda ts: "".join(f"{a[1]}>{b[1]};" for a, b in zip([("", "")] + ts, ts, strict=False)), lookback=1, parse=None)
+    assert len(list(cf.stream_spans(iter(turns), plain))) == len(list(cf.stream_spans(iter(turns), pairs))) == 70
+    for bad in (preamble, trims, cf.Template(render=pairs.render, lookback=0, parse=None)):
+        with pytest.raises(cf.LooksBack):
+            list(cf.stream_spans(iter(turns), bad))
+    whole = [s.rewrites for _, s in cf.stream_spans(iter(turns), cf.Template(render=trims.render, lookback=None, parse=None))]
+    assert sum(whole) == 50
