@@ -12,9 +12,12 @@ Merging reads whole shards and writes whole files: tasks are filled by size, not
 shuffled, and keys play no part, so a hot key cannot unbalance it.
 
 All data steps are DataFrame reads and writes; the driver handles file names and sizes only.
+The commit needs a file system whose rename without overwriting is atomic (HDFS, local disks); on a
+store that copies to rename, two writers could both succeed, so there one writer at a time must commit.
 
-Defined results: an empty arrival adds no shard; null values, repeated rows and extra columns
-are stored as they are; reading a table without any shard gives no rows of its schema.
+Defined results: an empty arrival adds no shard; null values, ties and repeated rows are stored as they are, very long
+texts too; columns are those of the table's schema by name: others of an arrival are not stored, and a missing one is an
+error; rows of any key go to any shard; reading a table without any shard gives no rows of its schema.
 """
 
 from __future__ import annotations
