@@ -327,6 +327,7 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
     # A window tells something if it has a unit's code or one of the passages.
     codes = {code(u) for u in units.names()}
     apart = re.compile(b"|".join([b"\x02[0-9a-f]{10}\x03", *(re.escape(p) for p in sorted(ranked, key=lambda p: (-len(p), p)))]))
+    del bytes_toxic, bytes_ordinary, passages
     telling: list[bytes] = []
     for t in seen_toxic:
         for w in windows(t, units=units):
