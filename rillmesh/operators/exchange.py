@@ -286,8 +286,8 @@ class Exchange:
             changed = [n for n in heads if not minus(lifted[n].df(), current[n]).isEmpty()]
             frames |= lifted
             if not changed:
-                break
-        return frames[full].df()
+                return frames[full].df()
+        raise RuntimeError("trust did not settle in 1000 rounds")
 
     def _base_trust(self, state: State, full: str, peer: str, column: str) -> DataFrame:
         rows = state.local[full].df()

@@ -115,13 +115,9 @@ def _same(a: tuple[Column, Column | None], b: tuple[Column, Column | None]) -> C
         return av == bv
     if al is None or bl is None:
         return (av == bv) & (al if al is not None else bl).isNull()
-    # One equi-join key for both cases; rows with neither value nor label never match.
-    return _key(av, al) == _key(bv, bl)
-
-
-def _key(value: Column, companion: Column) -> Column:
-    """'v' + value or 'l' + label; null if both are null."""
-    return F.coalesce(F.concat(F.lit("l"), companion), F.concat(F.lit("v"), value.cast("string")))
+    # Two null-safe equi-join keys, so values of different numeric types meet as they do elsewhere; rows
+    # with neither value nor label never match.
+    return av.eqNullSafe(bv) & al.eqNullSafe(bl) & (av.isNotNull() | al.isNotNull())
 
 
 def _aliased(side: _Joined, tag: str) -> _Joined:

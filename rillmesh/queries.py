@@ -6,6 +6,7 @@ SQL beside it says the same for an engine that is not this one.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,11 +15,14 @@ from pyspark.sql import functions as F
 from .operators import asr, capture, layouts, predicates, provenance, reconcile, relational
 from .operators.exchange import Exchange
 from .operators.tables import PredicateRegistry, TableSet
-from .plans import program, proql
+from .plans import mappings, program, proql, unfold
 from .plans.catalog import Field, Relation, System, TrustCondition
 from .plans.compile import compile_rule, minus, union, within
 from .plans.fixpoint import evaluate
-from .plans.rules import Rule, parse_rule, parse_rules, parse_tgd
+from .sources import delimited
+from .storage import run_dir
+from .streaming.epochs import EpochLog, dump, restore
+from .plans.rules import Rule, minimized, parse_rule, parse_rules, parse_tgd
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,9 +114,9 @@ def rule_union_all(t: Tables) -> DataFrame:
     return union(rules, t, distinct=False)
 
 
-@query("SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def rule_except(t: Tables) -> DataFrame:
-    return t["customer"].select(F.col("c_nationkey").alias("k")).subtract(t["supplier"].select("s_nationkey"))
+    return t["customer"].select(F.col("c_custkey").alias("k")).subtract(t["orders"].where("o_orderstatus = 'F'").select("o_custkey"))
 
 
 @query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
@@ -591,3 +595,177 @@ def table_rule_updates(t: Tables) -> DataFrame:
     known.apply("NOT_o(k, c) :- o(k, c), c(c, 3)")
     known.apply("o(k, c) :- c(c, 4), ARITH.INTSUB(k, 0, c)")
     return known["o"]
+
+
+# ---------------------------------------------------------------- every arity and type of the scalar functions
+
+
+def _measured(t: Tables, atoms: str) -> DataFrame:
+    t["m"] = t["lineitem"].select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").cast("bigint").alias("i"), "l_suppkey", "l_partkey", F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), F.col("l_tax").alias("x"))
+    return compile_rule(parse_rule(f"ans(o, i, r2, r3, r4, r5, r6, r7) :- m(o, i, s, p, q, d, x), {atoms}"), t)
+
+
+def _arities(name: str, inputs: list[str]) -> str:
+    return ", ".join(f"ARITH.{name}{n}(r{n}, {', '.join(inputs[:n])})" for n in range(2, 8))
+
+
+def _arities_sql(function: str, inputs: list[str]) -> str:
+    made = ", ".join(f"{function}({', '.join(inputs[:n])}) AS r{n}" for n in range(2, 8))
+    return f"SELECT DISTINCT l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS i, {made} FROM lineitem"
+
+
+_INTS, _INTS_SQL = ["s", "p", "i", "o", "s", "p", "i"], [f"CAST({c} AS BIGINT)" for c in ("l_suppkey", "l_partkey", "l_linenumber", "l_orderkey", "l_suppkey", "l_partkey", "l_linenumber")]
+_DBLS, _DBLS_SQL = ["q", "d", "x", "q", "d", "x", "q"], ["l_quantity", "l_discount", "l_tax", "l_quantity", "l_discount", "l_tax", "l_quantity"]
+
+
+@query(_arities_sql("least", _INTS_SQL))
+def fn_int_least_arities(t: Tables) -> DataFrame:
+    return _measured(t, _arities("INTLEAST", _INTS))
+
+
+@query(_arities_sql("greatest", _INTS_SQL))
+def fn_int_greatest_arities(t: Tables) -> DataFrame:
+    return _measured(t, _arities("INTGREATEST", _INTS))
+
+
+@query(_arities_sql("least", _DBLS_SQL))
+def fn_dbl_least_arities(t: Tables) -> DataFrame:
+    return _measured(t, _arities("DBLLEAST", _DBLS))
+
+
+@query("SELECT DISTINCT l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS i, " + ", ".join(f"{' + '.join(_DBLS_SQL[:n])} AS r{n}" for n in range(2, 8)) + " FROM lineitem")
+def fn_dbl_sum_arities(t: Tables) -> DataFrame:
+    return _measured(t, _arities("DBLSUM", _DBLS))
+
+
+@query("SELECT DISTINCT o_orderkey AS k, o_orderstatus = 'F' AND o_totalprice > 100000 AS a, o_orderstatus = 'F' OR o_totalprice > 100000 AS b FROM orders")
+def fn_bits(t: Tables) -> DataFrame:
+    t["flags"] = t["orders"].select("o_orderkey", (F.col("o_orderstatus") == "F").alias("f"), (F.col("o_totalprice") > 100000).alias("p"))
+    return compile_rule(parse_rule("ans(k, a, b) :- flags(k, f, p), ARITH.BITAND(a, f, p), ARITH.BITOR(b, f, p)"), t)
+
+
+_SIX = {"LESS": "<", "LESSEQUAL": "<=", "GREATER": ">", "GREATEREQUAL": ">=", "EQUAL": "=", "NOTEQUAL": "<>"}
+
+
+@query(" UNION ".join(f"SELECT '{n}' AS test, p_partkey AS k FROM part WHERE p_size {op} 20" for n, op in _SIX.items()))
+def compare_int_all(t: Tables) -> DataFrame:
+    return union(parse_rules([f"ans('{n}', k) :- part(k, _, _, _, s, _), COMPARE.INT{n}(s, 20)" for n in _SIX]), t).toDF("test", "k")
+
+
+@query(" UNION ".join(f"SELECT '{n}' AS test, l_orderkey AS o, l_linenumber AS i FROM lineitem WHERE l_discount {op} l_tax" for n, op in _SIX.items()))
+def compare_dbl_all(t: Tables) -> DataFrame:
+    return union(parse_rules([f"ans('{n}', o, i) :- lineitem(o, _, _, i, _, _, d, x, _, _, _), COMPARE.DBL{n}(d, x)" for n in _SIX]), t).toDF("test", "o", "i")
+
+
+# ---------------------------------------------------------------- rewrites of rules, tested by what they compute
+
+
+@query("SELECT DISTINCT c_custkey AS c, n_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def rule_minimized(t: Tables) -> DataFrame:
+    rule = minimized(parse_rule("ans(c, n) :- customer(c, x, k, b, s), nation(k, n, g), customer(c, x, k, b, s), nation(k, n, g)"))
+    assert len(rule.body) == 2
+    return compile_rule(rule, t)
+
+
+@query("SELECT true AS chain, false AS feeds_itself")
+def mapping_weak_acyclicity(t: Tables) -> DataFrame:
+    chain = [parse_tgd("b(x, y) :- a(x)"), parse_tgd("c(y) :- b(x, y)")]
+    cycle = [parse_tgd("b(x, y) :- a(x)"), parse_tgd("a(y) :- b(x, y)")]
+    return t.spark.createDataFrame([(mappings.weakly_acyclic(chain), mappings.weakly_acyclic(cycle))], "chain boolean, feeds_itself boolean")
+
+
+@query("SELECT true AS closure, false AS steps")
+def program_recursion_test(t: Tables) -> DataFrame:
+    closure = parse_rules(["p(x, y) :- e(x, y)", "p(x, z) :- p(x, y), e(y, z)"])
+    steps = parse_rules(["p(x, y) :- e(x, y)", "q(x, z) :- p(x, y), e(y, z)"])
+    return t.spark.createDataFrame([(unfold.is_recursive(closure, "p"), unfold.is_recursive(steps, "q"))], "closure boolean, steps boolean")
+
+
+@query("SELECT DISTINCT c_custkey AS c, r_name AS r FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def mapping_composition(t: Tables) -> DataFrame:
+    steps = [parse_tgd("home(c, g) :- customer(c, n, k, b, s), nation(k, m, g)"), parse_tgd("ans(c, r) :- home(c, g), region(g, r)")]
+    (one,) = [m for m in mappings.composed(steps, {"home"}) if m.heads[0].relation == "ans"]
+    return compile_rule(Rule(one.heads[0], one.body), t).toDF("c", "r")
+
+
+@query("SELECT DISTINCT c_custkey AS c, n_regionkey AS g FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def rule_inlined_definition(t: Tables) -> DataFrame:
+    rule = mappings.inlined(parse_rule("ans(c, g) :- lives(c, k), nation(k, n, g)"), parse_rules(["lives(c, k) :- customer(c, n, k, b, s)"]))
+    assert all(a.relation != "lives" for a in rule.positive())
+    return compile_rule(rule, t)
+
+
+# ---------------------------------------------------------------- tables and outer joins
+
+
+@query("SELECT 'region' AS table_name, count(*) AS n FROM region" + "".join(f" UNION ALL SELECT '{n}', count(*) FROM {n}" for n in NAMES[1:]))
+def count_all_tables(t: Tables) -> DataFrame:
+    return relational.counts({n: t[n] for n in NAMES})
+
+
+@query("SELECT 'o' AS name, 0 AS n UNION ALL SELECT 'o_L', count(*) FROM orders UNION ALL SELECT 'copy', count(*) FROM orders UNION ALL SELECT 'moved', count(*) FROM orders UNION ALL SELECT 'differ', 0")
+def table_housekeeping(t: Tables) -> DataFrame:
+    known = TableSet(t.spark)
+    schema = t["orders"].schema
+    known.create_with_companions("o", schema)
+    for name in ("copy", "moved", "differ"):
+        known.create(name, schema)
+    known.replace("o", t["orders"])
+    known.migrate("o")
+    known.copy("o", "copy")
+    known.move("o", "moved")
+    gone = known.compare("copy", "moved")
+    found = relational.counts({n: known[n] for n in ("o", "o_L", "copy", "moved")})
+    return found.unionByName(t.spark.createDataFrame([("differ", gone)], "table_name string, n long")).withColumnRenamed("table_name", "name")
+
+
+@query("SELECT count(*) AS n FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F') a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'O') b ON o_custkey = k WHERE o_custkey IS NULL OR k IS NULL")
+def table_difference_count(t: Tables) -> DataFrame:
+    of = lambda s: t["orders"].where(F.col("o_orderstatus") == s).select("o_custkey")
+    return t.spark.createDataFrame([(relational.difference_count(of("F").distinct(), of("O").distinct()),)], "n long")
+
+
+@query("SELECT s_suppkey AS s, c_custkey AS c FROM supplier RIGHT JOIN customer ON s_nationkey = c_nationkey AND abs(s_acctbal - c_acctbal) < 50")
+def join_user_predicate_right(t: Tables) -> DataFrame:
+    known = PredicateRegistry()
+    known.register("near", lambda a, b: F.abs(a - b) < 50)
+    s = t["supplier"].select("s_suppkey", F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("b"))
+    c = t["customer"].select("c_custkey", F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("b"))
+    return known.join(s, c, "near", ["b"], ["b"], "right", equal=["k"]).select(F.col("s_suppkey").alias("s"), F.col("c_custkey").alias("c"))
+
+
+@query("SELECT count(*) AS n FROM (SELECT DISTINCT o_orderkey FROM orders JOIN (SELECT c_custkey FROM customer WHERE c_nationkey < 12) ON o_custkey = c_custkey)")
+def labeled_join_across_types(t: Tables) -> DataFrame:
+    """Columns with companions of labels, of type bigint on one side and double on the other."""
+    none = F.lit(None).cast("string")
+    t["l"] = t["orders"].select("o_orderkey", F.col("o_custkey").alias("k"), none.alias("k_LN"))
+    t["r"] = t["customer"].where("c_nationkey < 12").select(F.col("c_custkey").cast("double").alias("k"), none.alias("k_LN"))
+    return compile_rule(parse_rule("ans(o) :- l(o, k), r(k)"), t).agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- logs and files, written and read back
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_id >= 300 GROUP BY event_type")
+def epoch_log_range(t: Tables) -> DataFrame:
+    """Three published epochs, of which the last two are fetched."""
+    log = EpochLog(t.spark, f"{run_dir(t.spark)}/log-{uuid.uuid4().hex}")
+    for low, high in ((0, 300), (300, 600), (600, None)):
+        rows = t["events"].where(F.col("event_id") >= low)
+        log.publish((rows if high is None else rows.where(F.col("event_id") < high)).select("event_id", "event_type"))
+    return log.read(after=1).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer")
+def store_dump_restore(t: Tables) -> DataFrame:
+    folder = f"{run_dir(t.spark)}/dump-{uuid.uuid4().hex}"
+    dump({"customer": t["customer"].select("c_custkey", "c_name", "c_nationkey")}, folder)
+    return restore(t.spark, folder, ["customer"])["customer"]
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def delimited_round_trip(t: Tables) -> DataFrame:
+    r = Relation("p", "s", "nation", (Field("n_nationkey", "int", key=True), Field("n_name", "string"), Field("n_regionkey", "int")))
+    folder = f"{run_dir(t.spark)}/files-{uuid.uuid4().hex}"
+    delimited.write(t["nation"], folder, r)
+    return delimited.read(t.spark, folder, r).select("n_nationkey", "n_name", "n_regionkey")

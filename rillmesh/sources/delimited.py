@@ -18,12 +18,15 @@ def file_name(r: Relation, extension: str = EXTENSION) -> str:
 
 def read(spark: SparkSession, folder: str, relation: Relation, separator: str = SEPARATOR, extension: str = EXTENSION, labels: bool = True) -> DataFrame:
     """Rows of a relation's file.  After the values a file may hold one label per labeled-nullable
-    field; 1 says ordinary value and becomes null.  Unreadable values are null."""
+    field; 1 says ordinary value and becomes null.  A value that its type can't hold is an error that names it."""
     fields = [StructField(f.name, spark_type(f.type)) for f in relation.fields]
     marked = [f.name for f in relation.fields if f.labeled] if labels else []
-    schema = StructType(fields + [StructField(n + SUFFIX, StringType()) for n in marked])
+    schema = StructType([StructField(f.name, StringType()) for f in fields] + [StructField(n + SUFFIX, StringType()) for n in marked])
     df = spark.read.schema(schema).option("sep", separator).csv(f"{folder.rstrip('/')}/{file_name(relation, extension)}")
-    return df.select(*[f.name for f in fields], *[F.when(F.col(n + SUFFIX) != ORDINARY, F.col(n + SUFFIX)).alias(n + SUFFIX) for n in marked])
+    typed = lambda f: F.col(f"`{f.name}`").try_cast(f.dataType)
+    wrong = lambda f: F.raise_error(F.concat(F.lit(f"{relation.name}.{f.name} can't hold "), F.col(f"`{f.name}`"))).cast(f.dataType)
+    checked = [F.when(F.col(f"`{f.name}`").isNotNull() & typed(f).isNull(), wrong(f)).otherwise(typed(f)).alias(f.name) for f in fields]
+    return df.select(*checked, *[F.when(F.col(n + SUFFIX) != ORDINARY, F.col(n + SUFFIX)).alias(n + SUFFIX) for n in marked])
 
 
 def write(df: DataFrame, folder: str, relation: Relation, separator: str = SEPARATOR, extension: str = EXTENSION) -> None:

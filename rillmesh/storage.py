@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-#: Only where the session names no shared folder: tests and single machines.
+#: Only where the session names no shared folder and runs on this machine alone.
 LOCAL_CHECKPOINT = "file:///tmp/rillmesh-checkpoints"
 
 
@@ -17,7 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder, as the session names it."""
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if not named:
-        spark.conf.set(CHECKPOINT_KEY, LOCAL_CHECKPOINT)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         named = LOCAL_CHECKPOINT
     return named.rstrip("/")
 
