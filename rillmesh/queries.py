@@ -519,7 +519,7 @@ SELECT CAST(event_id AS VARCHAR) AS txn, p AS priority, CASE WHEN p = 3 AND n3 >
  WHEN n3 = 1 AND v3 <> value THEN 'REJECT' WHEN n3 > 1 THEN 'DEFER' WHEN n2 > 1 THEN 'DEFER' ELSE 'ACCEPT' END AS status FROM s""")
 def reconcile_decide(t: Tables) -> DataFrame:
     trust = [TrustCondition("me", "profile", "click", 3), TrustCondition("me", "profile", "view", 2)]
-    return reconcile.Reconciler(t.spark, "me", ["user_id"], trust).reconcile(_log(t)).statuses
+    return reconcile.Reconciler(t.spark, "me", ["user_id"], trust).reconcile(_log(t)).statuses.drop("cause")
 
 
 def _edits(t: Tables) -> DataFrame:

@@ -102,3 +102,54 @@ def test_local_update_routing(spark):
     ins, gone = capture.changes(f(1, 2), f(2, 3))
     assert rows(ins) == [(1,)] and rows(gone) == [(3,)]
     assert [rows(x) for x in capture.net(f(1, 2), f(2, 3))] == [[(1,)], [(3,)]]
+
+
+def named(df):
+    return {r["txn"]: r["status"] for r in df.collect()}
+
+
+def values(df):
+    return sorted((tuple(r["value"]), r["txn"]) for r in df.collect())
+
+
+def test_causes_states_by_number_and_replay(spark):
+    trust = [TrustCondition("0", "R", "1", 2), TrustCondition("0", "R", "2", 2), TrustCondition("0", "R", "3", 1)]
+    r = rc.Reconciler(spark, "0", ["name"], trust)
+    first = [("a", "1", None, ("Nick", 1), ()), ("z", "9", None, ("Zoe", 1), ())]
+    d = r.reconcile(log(spark, *first))
+    assert named(rc.detailed(d.statuses)) == {"a": "ACCEPT"} and rows(d.unknown) == [("z",)]
+    second = [("b", "1", ("Nick", 1), ("Nick", 2), ("a",)), ("c", "2", ("Nick", 1), ("Nick", 3), ("a",)), ("e", "3", ("Nick", 1), ("Nick", 4), ("a",)), ("f", "3", None, ("Mark", 5), ())]
+    d = r.reconcile(log(spark, *first, *second))
+    assert named(rc.detailed(d.statuses)) == {"a": "ACCEPT", "b": "DEFERCONFLICT", "c": "DEFERCONFLICT", "e": "DEFERCONFLICT", "f": "ACCEPT"}
+    third = [("g", "1", ("Nick", 3), ("Nick", 6), ("c",)), ("h", "1", ("Mark", 5), None, ("f",))]
+    whole = log(spark, *first, *second, *third)
+    d = r.reconcile(whole)
+    assert r.status("g") == "DEFER" and r.status("h") == "ACCEPT" and values(r.state) == [(("Nick", 1), "a")]
+    assert [values(r.state_at(n)) for n in (1, 2, 3)] == [[(("Nick", 1), "a")], [(("Mark", 5), "f"), (("Nick", 1), "a")], [(("Nick", 1), "a")]]
+    assert named(r.decisions(2).where("status = 'ACCEPT'")) == {"f": "ACCEPT"}
+    x = next(o for o in d.open.collect() if o["txn"] == "c" and o["kind"] == "KEY")
+    after = r.resolve(whole, d, x["about"], x["option"])
+    got = named(after.statuses)
+    assert got["c"] == "ACCEPT" and got["b"] == got["e"] == "REJECT" and got["h"] == "ACCEPT" and r.recno == 3
+    assert values(r.state_at(2)) == [(("Mark", 5), "f"), (("Nick", 3), "c")]
+
+
+def test_own_transactions(spark):
+    r = rc.Reconciler(spark, "0", ["name"], ALL)
+    own = lambda *u: spark.createDataFrame([("R", i, a, b) for i, (a, b) in enumerate(u)], f"relation string, seq int, old {ROW}, new {ROW}")
+    one = r.add(own((None, ("Nick", 1)), (("Nick", 1), ("Nick", 2))))
+    two = r.add(own((("Nick", 2), ("Nick", 3))))
+    assert two.first()["prev"] == [one.first()["txn"]] and r.status(two.first()["txn"]) == "ACCEPT"
+    assert [v for v, _ in values(r.state)] == [("Nick", 3)] and r.lookup({"name": "Nick"}) == [("Nick", 3)]
+    with pytest.raises(rc.InconsistentUpdates):
+        r.add(own((("Nick", 7), ("Nick", 8))))
+
+
+def test_needed_updates(spark):
+    flat = lambda *u: rc.flatten(log(spark, *u), ["name"])
+    needs = spark.createDataFrame([("c", "b"), ("b", "a")], "txn string, needs string")
+    done = flat(("b", "0", ("N", 1), ("N", 2), ()))
+    got = rc.needed_updates(flat(("b", "0", ("N", 1), ("N", 2), ()), ("a", "0", ("N", 1), ("N", 9), ()), ("c", "0", ("N", 1), ("N", 3), ()), ("x", "0", None, ("M", 1), ())), done, needs)
+    assert sorted((r["txn"], r["old"] and tuple(r["old"]), tuple(r["new"])) for r in got.collect()) == [("c", ("N", 2), ("N", 3)), ("x", None, ("M", 1))]
+    with pytest.raises(Exception, match="no order"):
+        rc.needed_updates(flat(("q", "0", ("N", 1), ("N", 3), ())), done, needs).collect()
