@@ -36,6 +36,7 @@ class Engine:
         self.spark, self.system, self.conf = spark, system, conf
         self.exchange = Exchange(spark, system, conf.rejection_tables, conf.require_weak_acyclicity)
         self.state: State = self.exchange.start({})
+        self._reconcilers: dict[str, Reconciler] = {}
 
     def load(self, local: Mapping[str, DataFrame]) -> None:
         """Takes existing rows as local contributions and runs all mappings."""
@@ -56,15 +57,14 @@ class Engine:
             ins, gone = capture.changes(now, self.rows(full))
             inserted[full] = Stored.of(ins, "ins").df()
             deleted[full] = Stored.of(gone, "del").df()
-            # Whatever is not local was derived: deleting it means rejecting it.
-            rejected[full] = deleted[full]
+            # What a mapping derives comes back unless it is rejected; other deletions reject nothing.
+            rejected[full] = self.exchange.derivable(self.state, full, deleted[full])
         self.apply(inserted, deleted, rejected)
 
     def apply(self, inserted: Mapping[str, DataFrame], deleted: Mapping[str, DataFrame], rejected: Mapping[str, DataFrame] | None = None) -> None:
         """Exchanges local insertions, deletions and rejections."""
         if not self.conf.incremental:
-            after = self.exchange.insert(self.exchange.delete(self.state, deleted, rejected), inserted)
-            self.state = self.exchange.recompute(after)
+            self.state = self.exchange.recompute(self.exchange.changed(self.state, inserted, deleted, rejected))
         elif self.conf.insertions_first:
             self.state = self.exchange.delete(self.exchange.insert(self.state, inserted), deleted, rejected)
         else:
@@ -86,8 +86,15 @@ class Engine:
         """A path query over the local contributions behind every relation."""
         return proql.run(text, self.system, {n: s.df() for n, s in self.state.local.items()})
 
+    def reconciler(self, peer: str, keys: list[str]) -> Reconciler:
+        """A peer's reconciler, which keeps its decisions from call to call."""
+        kept = self._reconcilers.get(peer)
+        if kept is None or kept.keys != keys:
+            kept = self._reconcilers[peer] = Reconciler(self.spark, peer, keys, self.system.trust)
+        return kept
+
     def reconcile(self, peer: str, keys: list[str], updates: DataFrame) -> Decisions:
-        return Reconciler(self.spark, peer, keys, self.system.trust).reconcile(updates)
+        return self.reconciler(peer, keys).reconcile(updates)
 
     def dump(self, folder: str) -> None:
         """Local rows and rejections; everything else follows from them."""

@@ -108,6 +108,28 @@ class Exchange:
             return state.full[full].df()
         return Stored.empty(self.spark, self.struct(full)).df()
 
+    def derivable(self, state: State, name: str, rows: DataFrame) -> DataFrame:
+        """Those of ``rows`` that a firing of some mapping has as its head, rejected or not."""
+        full = self.system.find(name).full
+        rows = aligned(rows, self.struct(full))
+        heads = [self._tuples(s, h, state.full[s.provenance].df()) for s in self.splits if s.provenance in state.full for h in s.heads if h.relation == full]
+        return within(rows, reduce(DataFrame.unionByName, heads)) if heads else rows.limit(0)
+
+    def changed(self, state: State, inserted: Mapping[str, DataFrame], deleted: Mapping[str, DataFrame], rejected: Mapping[str, DataFrame] | None = None) -> State:
+        """Local rows and rejections with a batch's deletions and then its insertions, before any mapping has run:
+        what :meth:`recompute` takes where nothing is to be followed step by step."""
+        local, no = dict(state.local), dict(state.rejected)
+        named = lambda frames: {self.system.find(n).full: aligned(df, self.struct(self.system.find(n).full)).distinct() for n, df in (frames or {}).items()}
+        for full, df in named(deleted).items():
+            local[full] = Stored.of(minus(local[full].df(), df), "local")
+        for full, df in named(rejected).items():
+            no[full] = no[full].plus(Stored.of(minus(minus(df, local[full].df()), no[full].df()), "rej"))
+        for full, df in named(inserted).items():
+            new = Stored.of(minus(df, local[full].df()), "ins")
+            local[full] = local[full].plus(new)
+            no[full] = Stored.of(minus(no[full].df(), new.df()), "rejected")
+        return State(local, no)
+
     # ------------------------------------------------------------ insertions
 
     def insert(self, state: State, inserted: Mapping[str, DataFrame]) -> State:

@@ -308,7 +308,8 @@ class Reconciler:
         self._keep("history", decided.join(before, "txn", "left_anti"))
         self.decided = decided
         unknown = ranked.where("priority = 0").join(statuses, "txn", "left_anti").select("txn")
-        return Decisions(self.decided, self.state, self.dirty, g.join(deferred, "txn", "left_semi"), unknown)
+        open_ = g.join(deferred, "txn", "left_semi").select("kind", "relation", "about", "option", "txn")
+        return Decisions(self.decided, self.state, self.dirty, open_, unknown)
 
     def _apply(self, accepted: DataFrame) -> None:
         """Brings the state up to newly accepted updates (with their ``priority``).

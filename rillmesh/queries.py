@@ -522,6 +522,50 @@ def reconcile_decide(t: Tables) -> DataFrame:
     return reconcile.Reconciler(t.spark, "me", ["user_id"], trust).reconcile(_log(t)).statuses.drop("cause")
 
 
+@query("""WITH e AS (SELECT *, CASE event_type WHEN 'click' THEN 3 WHEN 'view' THEN 2 ELSE 0 END AS p FROM events),
+u AS (SELECT user_id, count(DISTINCT value) FILTER (p = 3) AS n3, count(DISTINCT value) FILTER (p = 2) AS n2, min(value) FILTER (p = 3) AS v3 FROM e GROUP BY user_id)
+SELECT CAST(event_id AS VARCHAR) AS txn, CASE WHEN p = 0 THEN 'UNKNOWN' WHEN p = 3 AND n3 > 1 THEN 'DEFERCONFLICT' WHEN p = 3 THEN 'ACCEPT'
+ WHEN n3 = 1 AND v3 <> value THEN 'REJECTCONFLICT' WHEN n3 > 1 OR n2 > 1 THEN 'DEFERCONFLICT' ELSE 'ACCEPT' END AS status FROM e JOIN u USING (user_id)""")
+def reconcile_statuses(t: Tables) -> DataFrame:
+    trust = [TrustCondition("me", "profile", "click", 3), TrustCondition("me", "profile", "view", 2)]
+    d = reconcile.Reconciler(t.spark, "me", ["user_id"], trust).reconcile(_log(t))
+    return reconcile.detailed(d.statuses).select("txn", "status").unionByName(d.unknown.withColumn("status", F.lit("UNKNOWN")))
+
+
+@query("SELECT user_id, min(value) AS value FROM events WHERE event_id < 500 AND event_type = 'click' GROUP BY user_id HAVING count(DISTINCT value) = 1")
+def reconcile_state_at(t: Tables) -> DataFrame:
+    """The state after the first of two reconciliations, read after the second."""
+    r = reconcile.Reconciler(t.spark, "me", ["user_id"], [TrustCondition("me", "profile", "click", 3)])
+    log = _log(t)
+    r.reconcile(log.where(F.col("txn").cast("bigint") < 500))
+    r.reconcile(log)
+    return r.state_at(1).select("value.user_id", "value.value")
+
+
+@query("SELECT user_id AS key, count(DISTINCT value) FILTER (event_id % 5 <> 0) + 1 AS options, count(*) AS txns FROM events GROUP BY user_id HAVING count(*) FILTER (event_id % 5 = 0) > 0 AND count(*) FILTER (event_id % 5 <> 0) > 0")
+def reconcile_conflicts_update(t: Tables) -> DataFrame:
+    """All events of a user change the same old row, every fifth by deleting it."""
+    kind = "struct<user_id:bigint,value:double>"
+    gone = F.col("txn").cast("bigint") % 5 == 0
+    log = _log(t).withColumn("old", F.struct(F.col("new.user_id"), F.lit(-1.0).alias("value")).cast(kind)).withColumn("new", F.when(~gone, F.col("new")))
+    g = reconcile.conflict_rows(reconcile.flatten(log, ["user_id"])).where("kind = 'UPDATE'")
+    return g.groupBy(F.get_json_object("about", "$.user_id").cast("bigint").alias("key")).agg(F.count_distinct("option").alias("options"), F.count("*").alias("txns"))
+
+
+@query("""SELECT CASE WHEN c_custkey % 3 = 0 THEN 'p' ELSE 'q' END || c_custkey AS txn, c_custkey AS k, CASE WHEN c_nationkey < 12 THEN 1 ELSE 0 END AS before, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END AS after
+FROM customer WHERE c_custkey % 3 <> 0 OR c_nationkey >= 12""")
+def reconcile_needed_updates(t: Tables) -> DataFrame:
+    """Customers' rows go from 0 to 1 by p and on to 2 by q; p has been applied in twelve nations."""
+    row = lambda v: F.struct(F.col("c_custkey").alias("k"), v.cast("int").alias("v"))
+    first = F.col("c_custkey") % 3 == 0
+    p, q = F.concat(F.lit("p"), "c_custkey"), F.concat(F.lit("q"), "c_custkey")
+    rest = [F.lit("r").alias("relation"), F.struct(F.col("c_custkey").alias("k")).alias("key"), row(F.lit(0)).alias("old")]
+    done = t["customer"].where("c_nationkey < 12").select(p.alias("txn"), *rest, row(F.lit(1)).alias("new"))
+    asked = t["customer"].select(F.when(first, p).otherwise(q).alias("txn"), *rest, row(F.when(first, 1).otherwise(2)).alias("new"))
+    needs = t["customer"].select(q.alias("txn"), p.alias("needs"))
+    return reconcile.needed_updates(asked, done, needs).select("txn", "key.k", F.col("old.v").alias("before"), F.col("new.v").alias("after"))
+
+
 def _edits(t: Tables) -> DataFrame:
     """A user's events in order: the first inserts the row, each later one changes it."""
     w = Window.partitionBy("user_id").orderBy("event_id")

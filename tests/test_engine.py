@@ -82,3 +82,33 @@ def test_layouts(spark):
     wide = layouts.outer_union({"m1": m1, "m2": m2})
     assert rows(layouts.from_outer_union(wide, "m2", ["b", "c"])) == [(2, 3)] and wide.count() == 2
     assert len(layouts.outer_join([m1, m2, m2.withColumnRenamed("c", "d")], 2)) == 2
+
+
+def test_recompute_mode_and_rejection_of_derived_rows_only(spark):
+    r = lambda *v: spark.createDataFrame(list(v), "x int, y int")
+    t = lambda *v: spark.createDataFrame([(x,) for x in v], "y int")
+    e = Engine(spark, demo(), EngineConf(incremental=False))
+    e.publish_and_map({"R": r((1, 5)), "T": t(7)})
+    e.publish_and_map({"T": t()})  # 7 was local, 5 derived
+    assert rows(e.rows("T")) == [] and rows(e.state.rejected["B.s.T"].df()) == [(5,)] and e.state.local["B.s.T"].df().count() == 0
+    e.publish_and_map({"R": r((1, 5), (2, 7))})  # 7 was not rejected, so it may come back
+    assert rows(e.rows("T")) == [(7,)]
+    e.apply({"T": t(5)}, {})
+    assert rows(e.rows("T")) == [(5,), (7,)] and e.state.rejected["B.s.T"].df().count() == 0
+
+
+def test_console_tables_and_reconciliation(spark, tmp_path):
+    c = Console(Engine(spark, demo()))
+    assert c.run("insert R(2, 6)") == "inserted" and c.run("translate") == "translated" and c.run("acyclic") == "weakly acyclic"
+    assert c.run("compare R R") == "0" and "PROV." in c.run("tables") and "T(y)" in c.run("rules")
+    assert ":- R(" in c.run("unfold v(x) :- R(x, y); ans(x) :- v(x)")  # variables are named anew
+    assert "mapping" in c.run("catalog").lower() and c.run(f"export R file://{tmp_path}/out") == "exported"
+    assert c.run("clear R") == "cleared" and c.run("count T") == "0"
+    kind = "struct<x:int,y:int>"
+    updates = spark.createDataFrame([("a", "A", 1, "A.s.R", None, (1, 2), []), ("b", "B", 1, "A.s.R", None, (1, 3), [])], f"txn string, peer string, seq int, relation string, old {kind}, new {kind}, prev array<string>")
+    updates.write.parquet(f"file://{tmp_path}/u")
+    assert c.run(f"publish file://{tmp_path}/log file://{tmp_path}/u") == "epoch 1" and c.run("epoch") == "1"
+    assert [x.split("\t")[:2] for x in c.run("reconcile C x").splitlines()[1:]] == [["a", "DEFERCONFLICT"], ["b", "DEFERCONFLICT"]]
+    about, option = next(x.split("\t")[2:4] for x in c.run("conflicts C x").splitlines() if x.endswith("\tb"))
+    assert [x.split("\t")[1] for x in c.run(f"resolve C x '{about}' '{option}'").splitlines()[1:]] == ["REJECTCONFLICT", "ACCEPT"]
+    assert c.run("state C x").endswith("\tb") and c.run("dirty C x").count("\n") == 0 and c.run("reset C x") == "reset"
