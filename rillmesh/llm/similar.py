@@ -8,15 +8,15 @@ which would take thousands of covering tables, so the fingerprints can't carry t
 
 *Bands.*  ``BANDS`` times ``ROWS`` least hashes under different mixings of a set: two sets share one such
 hash as often as they are similar, so at 0.8 they share a band but for one pair in five thousand (0.59 ** 16).
-Sets of one band are candidates: all pairs in a group of up to ``PAIR_LIMIT`` sets; in a larger one each set with the
-group's first and with one picked by hash (another one in each group), and the group is divided anew by ``FINER``
-bands of its own, whose groups are treated alike, but for pairs that are in one class by then.
+Sets of one band are candidates: all pairs in a group of up to ``PAIR_LIMIT`` sets.  In a larger one each set is
+first compared with the group's first and with the first that shares one of ``FINER`` other bands with it (another
+band in each group), which puts most of them into one class.  A large group that still holds several classes is then
+compared whole, block by block: every pair of its sets is in one class or was ruled out, by its sizes, its sketches
+or its sets.  Blocks have a bounded number of sets and shingles and give at most one link less than they have
+classes, so no table of pairs is made.
 
-Equal word sequences are one set from the start, so a group of copies is one row.  The work is linear in the
-rows of the bands, whatever the sizes of the groups; what is given up for that is a pair of a large group that
-no band divides finely enough and that is not joined through other members either (README gives the measured
-recall).  Pairs are thinned before their sets are fetched by 512 parity bits of each set: an odd
-bit of their difference is at least one shingle that only one has.
+Equal word sequences are one set from the start, so a group of copies is one row.  Pairs are thinned before their
+sets are compared by 512 parity bits of each set: an odd bit of their difference is at least one shingle that only one has.
 
 Defined results: words are what :mod:`simhash` takes for words (A-Z as a-z); fewer words than ``size`` are
 one shingle; texts without words (null, empty, spaces) are equal to each other and like nothing else; very
@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from . import common, graph, simhash
 
 SIZE, SIMILARITY = 5, 0.8
-#: Bands, least hashes in one, bands by which large groups are divided, and hashes in one of those.
+#: Bands, least hashes in one, bands that pick a partner in large groups, and hashes in one of those.
 BANDS, ROWS, FINER, FINER_ROWS = 16, 4, 8, 3
-#: Largest group whose pairs are all candidates.
-PAIR_LIMIT = 24
+#: Largest group whose pairs are all listed; larger ones are compared in blocks of about so many sets and shingles.
+PAIR_LIMIT, BLOCK_SETS, BLOCK_SHINGLES = 24, 4096, 1 << 20
 #: 64-bit words of a set's parity sketch.
 SKETCH = 8
 
@@ -101,35 +101,82 @@ def sets_of(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
     return common.written(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "marked")
 
 
-def _grouped(keyed: DataFrame, tag: str) -> DataFrame:
-    """``keyed`` (key, row and, if known, class) with its group's ``members``, ``first`` and ``other``, of groups of
-    two or more; where classes are known, of groups with two classes or more.
+def _grouped(keyed: DataFrame) -> DataFrame:
+    """``keyed`` (key, row, n, and hashes of the finer bands) with its group's ``members`` and ``first``, of groups of
+    two or more; of the finer bands one, another in each group.
 
     Groups are sized with partial sums first, so one that a third of all texts share is no hot key; the
     join that follows has plain exchanges, which adaptive execution splits by size."""
-    classed = "class" in keyed.columns
-    member = F.struct("row", "class") if classed else F.col("row")
-    picked = F.min(F.struct(F.xxhash64("key", "row").alias("h"), member.alias("member")))
-    mixed = [(F.min("class") < F.max("class")).alias("mixed")] if classed else []
-    stats = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min(member).alias("first"), picked.alias("p"), *mixed).where("members > 1")
-    stats = (stats.where("mixed") if classed else stats).select("key", "members", "first", F.col("p.member").alias("other"))
-    return common.written(keyed.join(stats, "key"), tag)
+    stats = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("row").alias("first")).where("members > 1")
+    finer = F.element_at("finer", (F.pmod(F.col("key"), F.lit(FINER)) + 1).cast("int"))
+    return common.written(keyed.withColumn("finer", finer).join(stats, "key"), "groups")
 
 
 def _pairs(groups: DataFrame) -> DataFrame:
-    """All pairs of small groups, and each set of a large one with two of its members; none within a known class."""
-    classed = "class" in groups.columns
-    groups = groups.withColumn("u", F.struct("row", "class") if classed else F.col("row"))
-    row = lambda c: F.col(f"{c}.row") if classed else F.col(c)
-    apart = lambda a, b: F.col(f"{a}.class") != F.col(f"{b}.class") if classed else F.lit(True)
-    small = groups.where(F.col("members") <= PAIR_LIMIT).select("key", "u")
-    found = small.join(small.withColumnRenamed("u", "v"), "key").where((row("u") < row("v")) & apart("u", "v")).select(row("u").alias("u"), row("v").alias("v"))
+    """All pairs of small groups, and each set of a large one with two of its members; :func:`_across` has the rest."""
+    small = groups.where(F.col("members") <= PAIR_LIMIT).select("key", F.col("row").alias("u"))
+    found = small.join(small.withColumnRenamed("u", "v"), "key").where("u < v").select("u", "v")
     large = groups.where(F.col("members") > PAIR_LIMIT)
-    for c in ("first", "other"):
-        found = found.unionByName(large.where(apart(c, "u")).select(row(c).alias("u"), row("u").alias("v")))
+    near = large.groupBy("key", "finer").agg(F.min("row").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return found.unionByName(large.select(F.col("first").alias("u"), F.col("row").alias("v"))).unionByName(large.join(near, ["key", "finer"]).select("u", F.col("row").alias("v")))
+
+
+def joining_links(rows: np.ndarray, classes: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between similar sets that join the classes of two blocks (or of one with itself) as all such links would.
+
+    Every pair that isn't in one class by the time it is met is ruled out by its sizes or sketches or compared whole."""
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    rows, blocks, sets = rows[order], blocks[order], [sets[i] for i in order]
+    root = np.unique(classes[order], return_inverse=True)[1]
+    n = np.array([len(x) for x in sets], np.int64)
+    ends = np.cumsum(n)
+    _, shingles = np.unique(np.concatenate(sets), return_inverse=True)
+    sketches = np.array([parity(x) for x in sets]).view(np.uint64)  # bits of signed numbers would be counted in their absolute values
+    two, mark, found = bool((blocks != blocks[0]).any()), np.zeros(len(shingles), bool), []
+    for a in range(len(sets)):
+        b = np.arange(a + 1, np.searchsorted(n, n[a] / similarity + 1e-6, "right"))
+        b = b[(root[b] != root[a]) & (blocks[b] != blocks[a])] if two else b[root[b] != root[a]]
+        if len(b):
+            b = b[np.bitwise_count(sketches[b] ^ sketches[a]).sum(axis=1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * (n[b] + n[a]) + 1e-9]
+        mine = shingles[ends[a] - n[a] : ends[a]]
+        mark[mine] = True
+        while len(b):
+            # As many sets at once as a block may hold, one at least.
+            many = max(1, int(np.searchsorted(np.cumsum(n[b]), BLOCK_SHINGLES, "right")))
+            c, b = b[:many], b[many:]
+            starts = np.cumsum(n[c]) - n[c]
+            both = np.add.reduceat(mark[shingles[np.repeat(ends[c] - n[c] - starts, n[c]) + np.arange(n[c].sum())]], starts, dtype=np.int64)
+            for x in c[both >= similarity * (n[c] + n[a] - both) - 1e-9]:
+                if root[x] != root[a]:
+                    found.append((int(rows[a]), int(rows[x])))
+                    root[root == root[x]] = root[a]
+            b = b[root[b] != root[a]]
+        mark[mine] = False
     return found
 
 
+def _across(large: DataFrame, classes: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
+    """Links between the classes within each large group (key, row, n): the exact way for what :func:`_pairs` leaves out.
+
+    A group of several classes is cut into blocks by a hash, each two of which are one task's rows; one class needs no comparison."""
+    placed = common.written(large.join(classes.withColumnRenamed("node", "row"), "row", "left").select("key", "row", "n", F.coalesce("component", "row").alias("class")), "placed")
+    stats = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("members"), F.sum("n").alias("shingles")).where("low < high")
+    count = F.ceil(F.greatest(F.col("members") / BLOCK_SETS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    dealt = placed.join(stats.select("key", count.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("key", "row", "class", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    dealt = dealt.select("key", "row", "class", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")).join(whole, "row")
+
+    def run(group: pa.Table) -> pa.Table:
+        at = {c: group.column(c).combine_chunks() for c in ("row", "class", "block", "hashes")}
+        sets = [x.values.to_numpy() for x in at["hashes"]]
+        found = joining_links(*(at[c].to_numpy(zero_copy_only=False) for c in ("row", "class", "block")), sets, similarity)
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+    more = common.written(dealt.groupBy("key", "i", "j").applyInArrow(run, "u long, v long"), "across")
+    common.dropped(placed)
+    return more
+
+
 def _may_be(similarity: float) -> Column:
     """Whether two sets of sizes ``nu``, ``nv`` and sketches ``su``, ``sv`` can be similar."""
     odd = F.aggregate(F.zip_with("su", "sv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
@@ -167,26 +214,21 @@ def _whole_sets(docs: DataFrame, id_col: str, text: str, size: int, wanted: Data
 
 def links(docs: DataFrame, sets: DataFrame, id_col: str, text: str, size: int, similarity: float) -> DataFrame:
     """Links (u, v: rows) whose components are those of all links found between similar sets of ``sets``."""
-    groups = _grouped(sets.select("row", F.explode(F.slice("bands", 1, BANDS)).alias("key")), "groups")
+    groups = _grouped(sets.select("row", "n", F.slice("bands", BANDS + 1, FINER).alias("finer"), F.explode(F.slice("bands", 1, BANDS)).alias("key")))
     prints = common.written(sets.groupBy("fp").agg(F.min("row").alias("first")), "prints")
     same = sets.join(prints, "fp").select(F.col("first").alias("u"), F.col("row").alias("v"))
     named = lambda c: prints.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_row"))
     near = simhash.links(prints.select("fp")).join(named("u"), "u").join(named("v"), "v").select(F.col("u_row").alias("u"), F.col("v_row").alias("v"))
     pairs = common.written(_each_once(_pairs(groups).unionByName(same).unionByName(near)), "candidates")
     likely = common.written(_likely(pairs, sets, similarity), "pairs")
-    large = groups.where(F.col("members") > PAIR_LIMIT).select("row", F.col("key").alias("within"))
+    large = groups.where(F.col("members") > PAIR_LIMIT).select("key", "row", "n")
     # Whole sets are made for texts that may have a partner, and for no others.
     wanted = likely.select(F.col("u").alias("row")).unionByName(likely.select(F.col("v").alias("row"))).unionByName(large.select("row")).distinct()
     whole = _whole_sets(docs, id_col, text, size, sets.select("row", "own").join(wanted, "row", "left_semi"))
     found = common.written(_verified(likely, whole, similarity), "links")
-    # Large groups again by finer bands; sets that are in one class by now need no comparison.
     classes = common.written(graph.components(found), "stars")
-    placed = large.join(classes.withColumnRenamed("node", "row"), "row", "left").select("row", "within", F.coalesce("component", "row").alias("class"))
-    finer = placed.join(sets.select("row", F.slice("bands", BANDS + 1, FINER).alias("finer")), "row").select("row", "class", "within", F.explode("finer").alias("band"))
-    finer = _grouped(finer.select(F.xxhash64("within", "band").alias("key"), "row", "class"), "finer")
-    rest = common.written(_likely(_each_once(_pairs(finer)), sets, similarity), "rest")
-    more = common.written(_verified(rest, whole, similarity), "links")
-    for t in (groups, finer, prints, pairs, likely, whole, rest, found):
+    more = _across(large, classes, whole, similarity)
+    for t in (groups, prints, pairs, likely, whole, found):
         common.dropped(t)
     return classes.select(F.col("node").alias("u"), F.col("component").alias("v")).where("u <> v").unionByName(more)
 

@@ -97,3 +97,39 @@ def test_shared_passages_alone_make_no_class(spark):
     docs = spark.createDataFrame([(i, f"{line} " + " ".join(f"u{i}x{j}" for j in range(60))) for i in range(80)], "doc_id long, text string")
     assert similar.without_near_duplicates(docs).count() == 80
     assert simhash.majority(simhash.shingle_hashes(line, 5)) >= 0
+
+
+def test_large_groups_lose_no_pair(spark):
+    """Texts of one template are no near-duplicates of each other, but each of its twin, which no leader or chain joins."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    shared, texts = [word() for _ in range(64)], []
+    for _ in range(250):
+        own = [word() for _ in range(3)]
+        texts += [" ".join(shared + own + [word() for _ in range(7)]) for _ in range(2)]
+    want = brute_classes(texts)
+    assert len(set(want)) == 250
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in similar.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_joining_links_match_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    base = rng.integers(-(2**63), 2**63, 60)
+    sets = [np.unique(np.concatenate([base[: rng.integers(40, 61)], rng.integers(-(2**63), 2**63, rng.integers(0, 12))])) for _ in range(90)]
+    rows, classes = np.arange(100, 190), np.array([int(i) // 3 for i in range(90)])
+    for blocks in (np.zeros(90, int), np.arange(90) % 2):
+        want, got = list(classes), list(classes)
+        merge = lambda of, i, j: [of[i] if x == of[j] else x for x in of]
+        for i in range(90):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) and (not blocks.any() or blocks[i] != blocks[j]):
+                    want = merge(want, i, j)
+        found = similar.joining_links(rows, classes, blocks, sets, 0.8)
+        for u, v in found:
+            got = merge(got, u - 100, v - 100)
+        assert [want.index(c) for c in want] == [got.index(c) for c in got] and len(found) == len(set(classes)) - len(set(want))
