@@ -8,6 +8,10 @@ old one, so every combination is met exactly once.
 
 Each round's new rows are written to the shared folder and the accumulated relation
 is the list of those folders; plans keep their size and a lost executor costs at most one round.
+
+A ``lean`` evaluation stores only rows of a recursive relation that some rule can join again
+and derives all others when the relation is read, so a result much larger than what drives the
+recursion is never kept.
 """
 
 from __future__ import annotations
@@ -18,8 +22,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 
 from ..storage import Stored
-from .compile import Head, body, minus, project, resolve, within
-from .rules import Rule, RuleError, canonical, minimized
+from .compile import Head, body, minus, project, resolve, value_columns, within
+from .rules import Atom, Const, Rule, RuleError, Var, canonical, minimized
 
 
 def components(rules: list[Rule]) -> list[tuple[set[str], list[Rule], bool]]:
@@ -147,9 +151,121 @@ def propagate(rules: list[Rule], full: Mapping[str, Stored], delta: Mapping[str,
     raise RuntimeError(f"no fixpoint after {rounds} rounds")
 
 
-def evaluate(rules: list[Rule], tables: Mapping[str, DataFrame], shapes: Mapping[str, Head] | None = None, rounds: int = 1000) -> dict[str, DataFrame]:
+#: Names of the relations that a lean evaluation adds; no rule text can name them.
+_CORE, _LEFT, _RIGHT, _DEMAND = "#core", "#left", "#right", "#demand"
+
+
+def _columns(rule: Rule, known: Mapping[str, DataFrame], shape: Head | None = None) -> DataFrame:
+    return project(body(rule, lambda a, i: resolve(known, a.relation)), rule.head, shape, distinct=False)
+
+
+def _demands(rules: list[Rule], head: str, known: Mapping[str, DataFrame]) -> list[list[tuple[tuple[int, ...], str, DataFrame]]] | None:
+    """What rows of ``head`` each of its atoms in ``rules`` can join: for every other atom that shares variables with it,
+    positions and a table of the values there.  None if some atom can join any row."""
+    found = []
+    for r in rules:
+        for a in (x for x in r.positive() if x.relation == head):
+            mine = []
+            for b in (x for x in r.positive() if x.relation != head):
+                shared = [v for v in dict.fromkeys(b.variables()) if v in a.args]
+                if shared:
+                    values = _columns(Rule(Atom(_DEMAND, tuple(shared)), (b,)), known).distinct()
+                    mine.append((tuple(a.args.index(v) for v in shared), f"{_DEMAND}{len(found)}.{len(mine)}", values))
+            if not mine:
+                return None
+            found.append(mine)
+    return found
+
+
+def _factors(rule: Rule, fixed: Mapping[str, DataFrame]) -> dict[tuple, tuple[Rule, Rule, tuple[int, ...]]]:
+    """Ways to see ``rule`` as a join of two parts, one of them a single atom that alone gives some of the head's
+    variables: by what that atom is like, a rule for either part and the head's positions that the atom gives."""
+    found = {}
+    head = rule.head.args
+    if not all(isinstance(t, Var) for t in head) or len(set(head)) < len(head):
+        return found
+    for a in rule.positive():
+        rest = tuple(x for x in rule.body if x is not a)
+        elsewhere = {v for x in rest for v in x.variables()}
+        own = [v for v in dict.fromkeys(a.variables()) if v in head and v not in elsewhere]
+        on = [v for v in dict.fromkeys(a.variables()) if v in elsewhere]
+        bound = {v for x in Rule(rule.head, rest).positive() for v in x.variables()}
+        if a.relation not in fixed or not own or not on or not bound.issuperset(on) or not all(isinstance(t, (Var, Const)) for t in a.args):
+            continue
+        kind = tuple((repr(t.value),) if isinstance(t, Const) else (head.index(t),) if t in own else ("on", on.index(t)) if t in on else ("_", a.args.index(t)) for t in a.args)
+        left = Rule(Atom(_LEFT, (*[v for v in head if v not in own], *on)), rest)
+        found[(a.relation, kind)] = (left, Rule(Atom(_RIGHT, (*own, *on)), (a,)), tuple(head.index(v) for v in own))
+    return found
+
+
+def _derived(rules: list[Rule], known: Mapping[str, DataFrame], fixed: Mapping[str, DataFrame], shape: Head) -> DataFrame:
+    """Distinct rows of ``rules`` (one head) without shuffling what they derive, where all are joins with one atom.
+
+    Distinct rows of the left part meet distinct rows of the right one.  A right row whose head values
+    stand in no other right row then gives no row twice; only those of the others need be made distinct."""
+    ways = [_factors(r, fixed) for r in rules]
+    common = [k for k in ways[0] if all(k in w for w in ways)]
+    if not common:
+        return _united([_columns(r, known, shape) for r in rules]).distinct()
+    parts = [w[common[0]] for w in ways]
+    lefts = [_columns(left, known) for left, _, _ in parts]
+    right = _columns(parts[0][1], known)
+    if len({tuple(t for _, t in x.dtypes) for x in lefts}) > 1 or any(value_columns(x) != x.columns for x in (*lefts, right)):
+        return _united([_columns(r, known, shape) for r in rules]).distinct()
+    names = [f"c{i}" for i in range(len(lefts[0].columns))]
+    left = Stored.of(_united([x.toDF(*names) for x in lefts]).distinct(), "left").df()
+    right = Stored.of(right.toDF(*[f"d{i}" for i in range(len(right.columns))]).distinct(), "right").df()
+    at = parts[0][2]
+    own, n = [Var(f"y{i}") for i in range(len(at))], len(shape.columns) - len(at)
+    kept, on = [Var(f"x{i}") for i in range(n)], [Var(f"z{i}") for i in range(len(names) - n)]
+    given, others = dict(zip(at, own, strict=True)), iter(kept)
+    head = Atom("ans", tuple(given[i] if i in given else next(others) for i in range(len(shape.columns))))
+    rule = Rule(head, (Atom(_LEFT, (*kept, *on)), Atom(_RIGHT, (*own, *on))))
+    values = right.columns[: len(own)]
+    counts = right.groupBy(*values).count()
+    once, often = (_columns(rule, {_LEFT: left, _RIGHT: within(right, counts.where(f"count {test} 1").drop("count"), values)}, shape) for test in ("=", ">"))
+    return once.unionByName(often.distinct())
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _lean(head: str, rules: list[Rule], known: Mapping[str, DataFrame], shape: Head, rounds: int) -> DataFrame | None:
+    """The rows of a recursive relation of which only those are stored that a rule can join again; None where that can't be said."""
+    fixed = {k: v for k, v in known.items() if k != head}
+    rest = [r for r in rules if any(a.relation == head for a in r.positive())]
+    demands = None if head in known or shape.labeled else _demands(rest, head, fixed)
+    if demands is None:
+        return None
+    core, tables, made = f"{head}{_CORE}", dict(fixed), []
+    for mine in demands:
+        tables |= {name: Stored.of(values, "demand").df() for _, name, values in mine}
+    named = lambda x: Atom(core, x.args) if isinstance(x, Atom) and x.relation == head else x
+    for r in rules:
+        # Demands are put on the head's variables; they compare what the head holds only if it holds it unchanged.
+        plain = _columns(Rule(r.head, tuple(x for x in r.body if x not in r.negative())), {**tables, head: _no_rows(shape, next(iter(fixed.values())).sparkSession)})
+        if not all(isinstance(t, Var) for t in r.head.args) or value_columns(plain) != plain.columns or [t for _, t in plain.dtypes] != [(shape.types or {}).get(c) for c in shape.columns]:
+            return None
+        for mine in demands:
+            wanted = tuple(Atom(name, tuple(r.head.args[i] for i in at)) for at, name, _ in mine)
+            made.append(Rule(Atom(core, r.head.args), (*wanted, *map(named, r.body))))
+    tables[core] = evaluate(made, tables, {core: shape}, rounds)[core]
+    final = list({canonical(r): r for r in map(minimized, [Rule(r.head, tuple(map(named, r.body))) for r in rules])}.values())
+    return _derived(final, tables, fixed, shape)
+
+
+def _no_rows(shape: Head, spark) -> DataFrame:
+    return spark.createDataFrame([], ", ".join(f"`{c}` {(shape.types or {}).get(c, 'string')}" for c in shape.columns))
+
+
+def evaluate(rules: list[Rule], tables: Mapping[str, DataFrame], shapes: Mapping[str, Head] | None = None, rounds: int = 1000, lean: bool = False) -> dict[str, DataFrame]:
     """All head relations of a stratified program over ``tables``; a head that is also a
-    table starts from that table's rows."""
+    table starts from that table's rows.  ``lean``: recursive relations store only what drives
+    the recursion, where their rules tell it, and derive the rest anew each time they are read."""
     shapes = dict(shapes or {})
     known: dict[str, DataFrame] = dict(tables)
     out: dict[str, DataFrame] = {}
@@ -165,6 +281,12 @@ def evaluate(rules: list[Rule], tables: Mapping[str, DataFrame], shapes: Mapping
                 df = df.unionByName(known[h])
             known[h] = out[h] = df.distinct()
             continue
+        if lean and len(own) == 1:
+            (h,) = own
+            found = _lean(h, mine, known, shapes[h], rounds)
+            if found is not None:
+                known[h] = out[h] = found
+                continue
         seeds: dict[str, list[DataFrame]] = defaultdict(list)
         rest = []
         for r in mine:

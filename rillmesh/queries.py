@@ -222,7 +222,7 @@ sg(x, y) AS (SELECT a.c, b.c FROM p a JOIN p b ON a.q = b.q UNION SELECT a.c, b.
 def fixpoint_same_generation(t: Tables) -> DataFrame:
     s = t["supplier"].select(F.concat(F.lit("s"), "s_suppkey").alias("c"), F.concat(F.lit("n"), "s_nationkey").alias("q"))
     n = t["nation"].select(F.concat(F.lit("n"), "n_nationkey").alias("c"), F.concat(F.lit("r"), "n_regionkey").alias("q"))
-    return evaluate(parse_rules(["sg(x, y) :- p(x, q), p(y, q)", "sg(x, y) :- p(x, a), sg(a, b), p(y, b)"]), {"p": s.unionByName(n)})["sg"]
+    return evaluate(parse_rules(["sg(x, y) :- p(x, q), p(y, q)", "sg(x, y) :- p(x, a), sg(a, b), p(y, b)"]), {"p": s.unionByName(n)}, lean=True)["sg"]
 
 
 @query(f"WITH RECURSIVE e AS (SELECT * FROM ({_NEXT}) WHERE b IS NOT NULL), seen(x) AS (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT b FROM seen JOIN e ON x = a) SELECT o_orderkey AS x FROM orders WHERE o_orderkey NOT IN (SELECT x FROM seen)")

@@ -73,3 +73,40 @@ def test_large_accumulators_take_the_semi_join_way(spark, monkeypatch):
     monkeypatch.setattr(fixpoint, "LARGE_RATIO", 0)
     e = spark.createDataFrame(EDGES, "a long, b long")
     assert rows(evaluate(parse_rules(["tc(x, y) :- e(x, y)", "tc(x, z) :- tc(x, y), tc(y, z)"]), {"e": e})["tc"]) == closure(EDGES)
+
+
+PARENTS = [(1, 10), (2, 10), (3, 11), (3, 10), (4, 12), (4, 12), (5, None), (None, 10), (10, 20), (11, 20), (12, 21), (20, 30), (21, 30), (6, 30), (30, 30)]
+GENERATIONS = ["sg(x, y) :- p(x, q), p(y, q)", "sg(x, y) :- p(x, a), sg(a, b), p(y, b)"]
+
+
+def test_lean_evaluation_gives_the_same_rows_and_stores_less(spark, monkeypatch):
+    from rillmesh.plans import fixpoint
+
+    p = spark.createDataFrame(PARENTS + [(100 + i, 12) for i in range(40)], "c long, q long")
+    want = rows(evaluate(parse_rules(GENERATIONS), {"p": p})["sg"])
+    stored, of = [], fixpoint.Stored.of
+    monkeypatch.setattr(fixpoint.Stored, "of", lambda df, tag="rel": stored.append(of(df, tag)) or stored[-1])
+    got = rows(evaluate(parse_rules(GENERATIONS), {"p": p}, lean=True)["sg"])
+    assert got == want and len(want) > 1600 and len(set(got)) == len(got)
+    assert sum(s.df().count() for s in stored) < len(want) / 2
+
+
+def test_lean_evaluation_of_other_programs(spark):
+    e = spark.createDataFrame(EDGES, "a long, b long")
+    for step in ("tc(x, z) :- tc(x, y), e(y, z)", "tc(x, z) :- tc(x, y), tc(y, z)", "tc(x, z) :- e(x, y), tc(y, z), NOT_e(z, x)", "tc(z, x) :- tc(x, y), e(y, z), x < 3"):
+        rules = parse_rules(["tc(x, y) :- e(x, y)", step])
+        assert rows(evaluate(rules, {"e": e}, lean=True)["tc"]) == rows(evaluate(rules, {"e": e})["tc"])
+    p = spark.createDataFrame(PARENTS, "c long, q long")
+    for step in ("sg(x, y) :- p(x, a), sg(a, _), p(y, b), b > 20", "sg(x, y) :- p(x, a), sg(a, b), p(y, b), NOT_p(y, 20), x < 9", "sg(x, y) :- sg(x, a), sg(b, b), p(y, b), p(b, a)"):
+        rules = parse_rules([GENERATIONS[0], step])
+        assert rows(evaluate(rules, {"p": p}, lean=True)["sg"]) == rows(evaluate(rules, {"p": p})["sg"])
+
+
+def test_same_generation_stores_no_result(spark, monkeypatch):
+    from rillmesh import queries
+    from rillmesh.plans import fixpoint
+
+    stored, of = [], fixpoint.Stored.of
+    monkeypatch.setattr(fixpoint.Stored, "of", lambda df, tag="rel": stored.append(of(df, tag)) or stored[-1])
+    found = queries.QUERIES["fixpoint_same_generation"](spark, "/root/testdata/sf0.01").count()
+    assert sum(s.df().count() for s in stored) < found
